@@ -20,6 +20,7 @@ def session(app: str = "folioscope", cores: str = "*", **conf: str) -> SparkSess
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
@@ -28,8 +29,9 @@ def session(app: str = "folioscope", cores: str = "*", **conf: str) -> SparkSess
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the Arrow batches of Python stages by rows."""
+    """Bound the Arrow batches of Python stages by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def shared_folder(spark: SparkSession) -> str:
