@@ -15,6 +15,11 @@ _M = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _tables: list[np.ndarray] = []
+#: Classes of bytes for shapes: white space 0, lower case and bytes of other letters 1, upper case 2, digits 3, any other its own.
+_CLASS = np.arange(256, dtype=np.int64)
+_CLASS[_SPACE] = 0
+_CLASS[[*range(97, 123), *range(128, 256)]] = 1
+_CLASS[65:91], _CLASS[48:58] = 2, 3
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,6 +42,15 @@ def _powers() -> list[np.ndarray]:
     return _tables
 
 
+def _shapes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A number for each word's changes of class, from byte to byte: alike for words that look alike."""
+    kind = _CLASS[raw]
+    change = np.concatenate([[0], kind[:-1]]) * 256 + kind
+    change[kind == 0] = 0
+    change[1:][kind[1:] == kind[:-1]] = 0
+    return mix(np.add.reduceat(mix(change.astype(np.uint64)), starts))
+
+
 def _slice_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(first byte, hash) of the words of at most SLICE bytes."""
     values, up, down = _powers()
@@ -57,8 +71,8 @@ def _long(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
-def _text_hashes(data: bytes) -> np.ndarray:
-    """Hashes of the words of one text of any length: cut at white space, and a word that fills a slice by itself."""
+def _text_hashes(data: bytes, shapes: bool = False) -> np.ndarray:
+    """Hashes (or shapes) of the words of one text of any length: cut at white space, and a word that fills a slice by itself."""
     out, at = [], 0
     while at < len(data):
         end = min(len(data), at + SLICE)
@@ -66,26 +80,31 @@ def _text_hashes(data: bytes) -> np.ndarray:
             cut = max(data.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
             if cut < 0:  # one word longer than a slice, which starts here
                 word = data[at:].split(None, 1)[0]
-                out.append(np.array([_long(word)], np.uint64))
+                out.append(np.array([1 if shapes else _long(word)], np.uint64))
                 at += len(word)
                 continue
             end = cut + 1
-        out.append(_slice_hashes(data[at:end])[1])
+        starts, hashes = _slice_hashes(data[at:end])
+        out.append(_shapes(np.frombuffer(data[at:end], np.uint8), starts) if shapes and len(starts) else hashes)
         at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], shapes: bool = False) -> tuple[np.ndarray, ...]:
     """(hashes of all words in order, bounds): words of texts[i] are hashes[bounds[i]:bounds[i + 1]].
 
-    Words are what stands between ASCII white space. Equal words have equal hashes in any run.
+    Words are what stands between ASCII white space. Equal words have equal hashes in any
+    run. With `shapes`, a number for each word's shape stands between the two.
     """
-    hashes: list[np.ndarray] = []
+    hashes: list[np.ndarray] = [np.zeros(0, np.uint64)]
+    looks: list[np.ndarray] = [np.zeros(0, np.uint64)]
     counts = np.zeros(len(texts) + 1, np.int64)
     k = 0
     while k < len(texts):
         if len(texts[k]) >= SLICE:
             hashes.append(_text_hashes(texts[k]))
+            if shapes:
+                looks.append(_text_hashes(texts[k], True))
             counts[k + 1] = len(hashes[-1])
             k += 1
             continue
@@ -93,9 +112,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         while j < len(texts) and size + len(texts[j]) + 1 <= SLICE:
             size += len(texts[j]) + 1
             j += 1
-        starts, own = _slice_hashes(b" ".join(texts[k:j]))
+        joined = b" ".join(texts[k:j])
+        starts, own = _slice_hashes(joined)
         at = np.cumsum([0] + [len(x) + 1 for x in texts[k:j]])
         counts[k + 1 : j + 1] = np.diff(np.searchsorted(starts, at))
         hashes.append(own)
+        if shapes and len(starts):
+            looks.append(_shapes(np.frombuffer(joined, np.uint8), starts))
         k = j
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.cumsum(counts)
+    bounds = np.cumsum(counts)
+    return (np.concatenate(hashes), np.concatenate(looks), bounds) if shapes else (np.concatenate(hashes), bounds)
