@@ -22,7 +22,7 @@ MAX_RANGES = 1 << 16
 _Q1, _Q2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 _NO_ID = -(1 << 63)
 
-RUN = "bucket long, turn long, block long, n long, gaps binary, low binary, check binary, docs binary, base long"
+RUN = "bucket long, turn long, block long, n long, gaps binary, low binary, check binary, docs binary"
 
 
 def window_hashes(words: np.ndarray, bounds: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,7 +45,7 @@ def window_hashes(words: np.ndarray, bounds: np.ndarray, size: int = WINDOW) ->
 
 def _planes(values: np.ndarray, width: int) -> bytes:
     """The low `width` bytes of each value."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return np.ascontiguousarray(values.view("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def _unplanes(data: bytes, width: int, n: int) -> np.ndarray:
@@ -139,16 +139,15 @@ class _Block:
 def window_runs(docs: DataFrame, bits: int, id_bytes: int) -> DataFrame:
     """RUN rows: for each block and bucket one sorted run of the distinct window hashes of the block's documents.
 
-    docs: turn (rank of the range of ids), block, base (smallest id of the range), id, text.
-    id_bytes: width of the first document's id, relative to base; 0 where a range is one block, as then `turn` alone tells which is earlier.
+    docs: turn (rank of the range of ids), block, id, text.
+    id_bytes: width of the first document's id; 0 where a range is one block, as then `turn` alone tells which is earlier.
     """
 
     def emit(table: pa.Table) -> pa.Table:
         block = _Block(table)
         first = block.order[block.new]
         keys, checks = block.keys[first], block.checks[first]
-        base = table.column("base")[0].as_py()
-        ids = (block.ids[block.doc[first]] - np.int64(base)).view(np.uint64) if id_bytes else np.zeros(len(first), np.uint64)
+        ids = block.ids[block.doc[first]] if id_bytes else np.zeros(len(first), np.int64)
         buckets = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
         cuts = np.flatnonzero(np.diff(buckets, prepend=-1, append=-1))
         rows = []
@@ -160,7 +159,7 @@ def window_runs(docs: DataFrame, bits: int, id_bytes: int) -> DataFrame:
         return pa.table(
             {
                 "bucket": pa.array(columns[0], pa.int64()), "turn": pa.array([turn] * len(rows), pa.int64()), "block": pa.array([name] * len(rows), pa.int64()), "n": pa.array(columns[5], pa.int64()),
-                "gaps": pa.array(columns[1], pa.binary()), "low": pa.array(columns[2], pa.binary()), "check": pa.array(columns[3], pa.binary()), "docs": pa.array(columns[4], pa.binary()), "base": pa.array([base] * len(rows), pa.int64()),
+                "gaps": pa.array(columns[1], pa.binary()), "low": pa.array(columns[2], pa.binary()), "check": pa.array(columns[3], pa.binary()), "docs": pa.array(columns[4], pa.binary()),
             }
         )
 
@@ -221,7 +220,7 @@ def compacted(runs: DataFrame) -> DataFrame:
         order, new = _firsts(keys, checks, np.zeros(len(keys), np.int64))
         keys, checks = keys[order][new], checks[order][new]
         gaps, low = pack_sorted(keys)
-        row = {"bucket": rows[0]["bucket"], "turn": -1, "block": -1, "n": len(keys), "gaps": gaps, "low": low, "check": checks.tobytes(), "docs": b"", "base": 0}
+        row = {"bucket": rows[0]["bucket"], "turn": -1, "block": -1, "n": len(keys), "gaps": gaps, "low": low, "check": checks.tobytes(), "docs": b""}
         return pa.table({k: pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for k, v in row.items()})
 
     return runs.groupBy("bucket").applyInArrow(merge, RUN)
@@ -252,7 +251,7 @@ def _removal(block: _Block, hits: list[dict]) -> np.ndarray:
 
 
 def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
-    """(rows with turn, block, base, id, text; bits of a bucket number; bytes of an id in an entry).
+    """(rows with turn, block, id, text; bits of a bucket number; bytes of an id in an entry).
 
     Ids are cut at quantiles into ranges of about BLOCK_BYTES of text. The cuts are found by
     a scan of the ids alone and stand in the plan as two levels, so a row compares with about
@@ -260,7 +259,7 @@ def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     shared by several blocks.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.min("id").alias("low")).first()
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     blocks = max(1, -(-size["bytes"] // BLOCK_BYTES))
     ranges = min(blocks, MAX_RANGES)
     share = -(-blocks // ranges)
@@ -278,12 +277,11 @@ def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         turn = inner.cast("long")
     else:
         turn = F.lit(0).cast("long")
-    low = size["low"] if size["low"] is not None else 0
     rows = rows.withColumn("turn", turn)
     block = F.col("turn") if share == 1 else F.col("turn") * share + F.pmod(F.xxhash64(key), F.lit(share))
-    rows = rows.withColumn("block", block).withColumn("base", F.lit(_NO_ID if share > 1 else low).cast("long"))
+    rows = rows.withColumn("block", block)
     bits = max(0, min(23, (max(1, size["bytes"] // 6) // BUCKET_ENTRIES).bit_length()))
-    return rows.select("turn", "block", "base", "id", "text"), bits, 0 if share == 1 else 8
+    return rows.select("turn", "block", "id", "text"), bits, 0 if share == 1 else 8
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", history: DataFrame | None = None, digest: bool = False) -> tuple[DataFrame, DataFrame]:
