@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import lru_cache
 
 import regex
 
@@ -26,22 +27,26 @@ class PieceEncoder:
     The pattern always starts a word at a space between two characters that are no white
     space. So a text whose spaces all stand like that is cut at its spaces; any other text is
     cut by the pattern. Either way the concatenated ids of the pieces are the ids of the text.
-    `encode_many` maps strings to their ids as bytes; `special` are the strings that the
-    vocabulary treats as one token wherever they stand, with their ids as bytes.
+    `encode_many` maps strings to their ids as bytes; `encode_spaced` does so for pieces that
+    start after a space and end in no white space, by default each with the space before it.
+    `special` are the strings that the vocabulary treats as one token wherever they stand,
+    with their ids as bytes.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], special: dict[str, bytes], limit: int = CACHED):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], special: dict[str, bytes], limit: int = CACHED, encode_spaced: Callable[[list[str]], list[bytes]] | None = None):
         self.encode_many, self.special, self.limit = encode_many, special, limit
+        self.encode_spaced = encode_spaced or (lambda pieces: encode_many([" " + x for x in pieces]))
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {"": b""}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
-    def _learn(self, cache: dict[str, bytes], pieces: set[str], before: str) -> None:
+    def _learn(self, cache: dict[str, bytes], pieces: set[str], encode: Callable[[list[str]], list[bytes]]) -> None:
         new = [x for x in pieces if x not in cache]
         if len(cache) + len(new) > self.limit:
             cache.clear()
             new = list(pieces)
-        cache.update(zip(new, self.encode_many([before + x for x in new]) if before else self.encode_many(new), strict=True))
+        if new:
+            cache.update(zip(new, encode(new), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split: list[list[str] | None] = []
@@ -65,9 +70,8 @@ class PieceEncoder:
                 cut[k] = WORDS.findall(text)
                 plain.update(cut[k])
         spaced -= odd
-        if fresh or len(self.spaced) > self.limit:
-            self._learn(self.spaced, spaced if len(self.spaced) + len(fresh) > self.limit else fresh - odd, " ")
-        self._learn(self.plain, plain, "")
+        self._learn(self.spaced, spaced if len(self.spaced) + len(fresh) > self.limit else fresh - odd, self.encode_spaced)
+        self._learn(self.plain, plain, self.encode_many)
         out = []
         for k, (text, parts) in enumerate(zip(texts, split, strict=True)):
             if parts is None:
@@ -79,16 +83,49 @@ class PieceEncoder:
         return out
 
 
+#: Characters of a text in which the library encodes many pieces at once.
+JOINED = 4096
+
+
+@lru_cache(maxsize=2)
 def library_encoder(path: str) -> PieceEncoder:
-    """A PieceEncoder over the tokenizers library, which encodes each distinct piece."""
+    """A PieceEncoder over the tokenizers library, one for each worker and file: what it has learnt serves the next task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import json
+
     import numpy as np
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     special = {x.content: int(i).to_bytes(4, "little") for i, x in tokenizer.get_added_tokens_decoder().items()}
+    with open(path, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a byte-level token is a byte
+    for token, i in vocabulary.items():
+        sizes[i] = len(token)
 
     def encode_many(pieces: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    return PieceEncoder(encode_many, special)
+    def encode_spaced(pieces: list[str]) -> list[bytes]:
+        # Words begin at the spaces between pieces, so many pieces can be one text; bytes tell where each ends.
+        texts, size = [[]], 0
+        for x in pieces:
+            if size > JOINED:
+                texts.append([])
+                size = 0
+            texts[-1].append(x)
+            size += len(x) + 1
+        found = tokenizer.encode_batch_fast([" " + " ".join(x) for x in texts], add_special_tokens=False)
+        out: list[bytes] = []
+        for own, encoded in zip(texts, found, strict=True):
+            ids = np.array(encoded.ids, "<u4")
+            ends = np.cumsum([len(x.encode()) + 1 for x in own])
+            cuts = (np.searchsorted(np.cumsum(sizes[ids]), ends) + 1) * 4
+            data, begin = ids.tobytes(), 0
+            for end in cuts.tolist():
+                out.append(data[begin:end])
+                begin = end
+        return out
+
+    return PieceEncoder(encode_many, special, encode_spaced=encode_spaced)
