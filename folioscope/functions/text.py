@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SPACE = r"[ \t\n\r\f\x0B]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row; inside a lambda function an outer expression is computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+$", "")
@@ -104,8 +111,11 @@ def in_sequence(numbers: Column) -> Column:
 
 def shift_headings(text: Column) -> Column:
     """Heading levels moved up so that the highest is 1."""
-    lines = F.split(text, "\n")
     level = lambda x: F.length(F.regexp_extract(x, r"^(#{1,6})\s+.", 1))
-    least = F.array_min(F.filter(F.transform(lines, level), lambda n: n > 0))
-    moved = F.transform(lines, lambda x: F.when(level(x) > 0, F.regexp_replace(F.substr(x, least), r"^(#{1,6})\s+(.+)$", "$1 $2")).otherwise(x))
-    return F.when(F.coalesce(least, F.lit(1)) > 1, F.array_join(moved, "\n")).otherwise(text)
+    moved = lambda x, least: F.when(level(x) > 0, F.regexp_replace(F.substr(x, least), r"^(#{1,6})\s+(.+)$", "$1 $2")).otherwise(x)
+
+    def whole(parts: Column) -> Column:
+        return F.when(F.coalesce(parts["least"], F.lit(1)) > 1, F.array_join(F.transform(parts["lines"], lambda x: moved(x, parts["least"])), "\n")).otherwise(parts["text"])
+
+    least = lambda lines: F.array_min(F.filter(F.transform(lines, level), lambda n: n > 0))
+    return let(F.struct(text.alias("text"), F.split(text, "\n").alias("lines")), lambda t: let(F.struct(t["text"].alias("text"), t["lines"].alias("lines"), least(t["lines"]).alias("least")), whole))

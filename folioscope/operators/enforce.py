@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import clean_ends, front_matter, has_front_matter, shift_headings, strip
+from folioscope.functions.text import clean_ends, front_matter, has_front_matter, let, shift_headings, strip
 
 PAGE_MARK = r"<!--\s*page:\s*(\d+)\s*-->"
 ROLE_MARK = r"<!--\s*role:(\w+)(?:\s+[^>]+)?\s*-->"
@@ -118,12 +118,10 @@ def ensure_page_markers(md: Column) -> Column:
 
 def annotate_lines(md: Column) -> Column:
     """md with a role marker before each heading and table row that has none just before it."""
-    lines = F.split(md, "\n")
 
-    def mark(line: Column, k: Column) -> Column:
+    def mark(line: Column, above: Column) -> Column:
         own = strip(line)
-        before = F.when(k > 0, F.startswith(strip(F.get(lines, k - 1)), F.lit("<!-- role:"))).otherwise(False)
-        plain = (own == "") | F.startswith(own, F.lit("---")) | F.startswith(own, F.lit("<!--")) | before
+        plain = (own == "") | F.startswith(own, F.lit("---")) | F.startswith(own, F.lit("<!--")) | F.startswith(strip(above), F.lit("<!-- role:"))
         level = F.length(F.regexp_extract(own, "^(#*)", 1)).cast("string")
         return (
             F.when(plain, line)
@@ -132,25 +130,28 @@ def annotate_lines(md: Column) -> Column:
             .otherwise(line)
         )
 
-    return F.array_join(F.transform(lines, mark), "\n")
+    # Each line beside the one above it.
+    return let(F.split(md, "\n"), lambda lines: F.array_join(F.zip_with(lines, F.slice(F.concat(F.array(F.lit("")), lines), F.lit(1), F.size(lines)), mark), "\n"))
 
 
 def format_rows(rows: Column) -> Column:
     """An array of table rows as an array with cells padded to their column's width; a single row stays."""
-    parsed = F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(r, r"^\|+|\|+$", ""), r"\|", -1), lambda c: strip(c)))
-    count = F.array_max(F.transform(parsed, lambda r: F.size(r)))
     rule = r"^:?-+:?$"
     cell = lambda r, j: F.coalesce(F.get(r, j), F.lit(""))
     sized = lambda r, j: F.when((F.size(r) > j) & ~cell(r, j).rlike(rule), F.length(cell(r, j))).otherwise(3)
-    columns = F.sequence(F.lit(0), count - 1)
-    widths = F.transform(columns, lambda j: F.greatest(F.lit(3), F.array_max(F.transform(parsed, lambda r: sized(r, j)))))
     pad = lambda c, n: F.concat(c, F.repeat(F.lit(" "), F.greatest(n - F.length(c), F.lit(0))))
 
-    def line(r: Column, i: Column) -> Column:
-        cells = F.transform(columns, lambda j: F.when((i == 1) & cell(r, j).rlike(rule), F.repeat(F.lit("-"), F.get(widths, j))).otherwise(pad(cell(r, j), F.get(widths, j))))
+    def widths(parsed: Column) -> Column:
+        columns = F.sequence(F.lit(0), F.array_max(F.transform(parsed, lambda r: F.size(r))) - 1)
+        return F.transform(columns, lambda j: F.greatest(F.lit(3), F.array_max(F.transform(parsed, lambda r: sized(r, j)))))
+
+    def line(r: Column, i: Column, wide: Column) -> Column:
+        cells = F.transform(wide, lambda n, j: F.when((i == 1) & cell(r, j).rlike(rule), F.repeat(F.lit("-"), n)).otherwise(pad(cell(r, j), n)))
         return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
-    return F.when(F.size(rows) < 2, rows).otherwise(F.transform(parsed, line))
+    parsed = F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(r, r"^\|+|\|+$", ""), r"\|", -1), lambda c: strip(c)))
+    formatted = let(parsed, lambda p: let(widths(p), lambda wide: F.transform(p, lambda r, i: line(r, i, wide))))
+    return F.when(F.size(rows) < 2, rows).otherwise(formatted)
 
 
 def line_view(df: DataFrame, key: str, md: str = "md") -> DataFrame:

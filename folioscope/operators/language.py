@@ -19,8 +19,10 @@ def script(text: Column) -> Column:
     """A struct of script and share of the letters; ties go to the script whose letter comes first in the text."""
     counts = []
     for name, (low, high) in SCRIPTS.items():
+        n = _letters(text, low, high)
         first = F.length(F.regexp_extract(text, rf"(?s)^(.*?)[\p{{L}}&&[\x{{{low:04X}}}-\x{{{high:04X}}}]]", 1))
-        counts.append(F.struct(_letters(text, low, high).alias("n"), (-first).alias("p"), F.lit(name).alias("s")))
+        # Where it comes first matters for a script that occurs.
+        counts.append(F.struct(n.alias("n"), F.when(n > 0, -first).alias("p"), F.lit(name).alias("s")))
     best = F.array_max(F.array(*counts))
     letters = F.regexp_count(text, F.lit(r"\p{L}"))
     return F.when(best["n"] > 0, F.struct(best["s"].alias("script"), (best["n"] / letters).alias("share"))).otherwise(F.struct(F.lit("unknown").alias("script"), F.lit(0.0).alias("share")))

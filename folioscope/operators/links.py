@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.patterns import FIGURE_CAPTION, FOOTNOTE, SUPERSCRIPT, TABLE_CAPTION
 from folioscope.functions.text import strip
-from folioscope.operators.noise import PAGE
+from folioscope.operators.noise import PAGE, matches_any
 
 
 def parse_caption(content: Column) -> Column:
@@ -17,13 +17,17 @@ def parse_caption(content: Column) -> Column:
     return F.when(text.rlike(TABLE_CAPTION), part(TABLE_CAPTION, "table")).when(text.rlike(FIGURE_CAPTION), part(FIGURE_CAPTION, "figure"))
 
 
+def is_caption(content: Column) -> Column:
+    return matches_any(strip(content), [TABLE_CAPTION, FIGURE_CAPTION])
+
+
 def _at() -> Column:
     return F.coalesce("y", "y0", F.lit(0.0))
 
 
 def captions(elements: DataFrame) -> DataFrame:
     """(doc_key, page_num, elem_idx, y, kind, number, text) of every caption text."""
-    rows = elements.filter("elem_type = 'text'").withColumn("__c", parse_caption(F.col("content"))).filter("__c is not null")
+    rows = elements.filter("elem_type = 'text'").filter(is_caption(F.col("content"))).withColumn("__c", parse_caption(F.col("content")))
     return rows.select(*PAGE, "elem_idx", _at().alias("y"), "__c.kind", "__c.number", "__c.text")
 
 
@@ -37,11 +41,14 @@ def caption_links(elements: DataFrame, reach: float = 100) -> DataFrame:
     return near.groupBy(*PAGE, F.col("elem_idx").alias("caption_idx"), "kind", "number", "text").agg(F.min_by("target_idx", F.struct("d", "target_idx")).alias("target_idx"))
 
 
-def extract_captions(elements: DataFrame, reach: float = 100, keep_unlinked: bool = False) -> DataFrame:
-    """elements without caption texts, with caption and caption_number on the targets; the last of several captions wins."""
-    links = caption_links(elements, reach)
+def extract_captions(elements: DataFrame, reach: float = 100, keep_unlinked: bool = False, base: DataFrame | None = None) -> DataFrame:
+    """elements without caption texts, with caption and caption_number on the targets; the last of several captions wins.
+
+    base: the same elements before earlier stages added columns; links are sought there, which spares a second run of those stages.
+    """
+    links = caption_links(base if base is not None else elements, reach)
     won = links.groupBy(*PAGE, F.col("target_idx").alias("elem_idx")).agg(F.max_by(F.struct("text", "number"), "caption_idx").alias("__w"))
-    isnt = parse_caption(F.col("content")).isNull() | (F.col("elem_type") != "text")
+    isnt = (F.col("elem_type") != "text") | ~is_caption(F.coalesce("content", F.lit("")))
     rows = elements.join(won, [*PAGE, "elem_idx"], "left")
     if keep_unlinked:
         linked = links.select(*PAGE, F.col("caption_idx").alias("elem_idx"), F.lit(True).alias("__linked"))
@@ -65,14 +72,14 @@ def parse_footnote(content: Column) -> Column:
 
 
 def _is_footnote(bottom: float, height: float) -> Column:
-    return (F.col("elem_type") == "text") & (_at() / height >= bottom) & parse_footnote(F.col("content")).isNotNull()
+    return (F.col("elem_type") == "text") & (_at() / height >= bottom) & matches_any(strip(F.coalesce("content", F.lit(""))), [*FOOTNOTE, rf"^[{SUPERSCRIPT}]\s*.+$"])
 
 
 def mark_footnotes(elements: DataFrame, bottom: float = 0.8, height: float = 800) -> DataFrame:
     """elements with footnote_role and footnote_id for footnote texts at the foot of a page."""
-    hit = _is_footnote(bottom, height)
+    marked = elements.withColumn("footnote_role", F.when(_is_footnote(bottom, height), "footnote"))
     digits = F.regexp_extract(strip(F.col("content")), r"^\[?(\d+)\]?", 1)
-    return elements.withColumn("footnote_role", F.when(hit, "footnote")).withColumn("footnote_id", F.when(hit & (digits != ""), digits))
+    return marked.withColumn("footnote_id", F.when(F.col("footnote_role").isNotNull(), F.nullif(digits, F.lit(""))))
 
 
 def footnotes(elements: DataFrame, bottom: float = 0.8, height: float = 800) -> DataFrame:

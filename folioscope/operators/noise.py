@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +12,8 @@ PAGE = ["doc_key", "page_num"]
 
 
 def matches_any(text: Column, patterns: list[str], ignore_case: bool = False) -> Column:
-    flag = "(?i)" if ignore_case else ""
-    return reduce(Column.__or__, [text.rlike(flag + p) for p in patterns])
+    """Does any pattern match? One expression, so that it is compiled once and the generated code stays small."""
+    return text.rlike(("(?i)" if ignore_case else "") + "|".join(f"(?:{p})" for p in patterns))
 
 
 def is_page_number(content: Column) -> Column:
@@ -33,7 +31,10 @@ def is_garbled(content: Column) -> Column:
 
 
 def is_artifact(content: Column, confidence: Column) -> Column:
-    text = strip(content)
+    return _artifact(strip(content), confidence)
+
+
+def _artifact(text: Column, confidence: Column) -> Column:
     return matches_any(text, ARTIFACT) | ((F.coalesce(confidence, F.lit(1.0)) < 0.3) & (F.length(text) < 10)) | is_garbled(text)
 
 
@@ -72,15 +73,15 @@ def tag_noise(elements: DataFrame, threshold: float = 0.5, min_pages: int = 3) -
     """elements with noise_type: the first of page_number, header, footer, watermark, artifact that holds for a text."""
     repeaters = repeating_content(elements, threshold)
     counts = page_counts(elements)
-    keyed = elements.withColumn("norm_text", F.when(F.col("elem_type") == "text", mask_numbers(F.col("content"))))
+    keyed = elements.withColumn("__t", F.when(F.col("elem_type") == "text", strip(F.col("content")))).withColumn("norm_text", mask_numbers(F.col("__t")))
     joined = keyed.join(repeaters.select("doc_key", "norm_text", "is_header", "is_footer"), ["doc_key", "norm_text"], "left").join(counts, "doc_key")
     many = F.col("n_pages") >= min_pages
     noise = (
-        F.when(is_page_number(F.col("content")), "page_number")
+        F.when(matches_any(F.col("__t"), PAGE_NUMBER, True), "page_number")
         .when(many & F.coalesce("is_header", F.lit(False)), "header")
         .when(many & F.coalesce("is_footer", F.lit(False)), "footer")
-        .when(is_watermark(F.col("content")), "watermark")
-        .when(is_artifact(F.col("content"), F.col("confidence")), "artifact")
+        .when(matches_any(F.col("__t"), WATERMARK, True), "watermark")
+        .when(_artifact(F.col("__t"), F.col("confidence")), "artifact")
     )
     return joined.withColumn("noise_type", F.when(F.col("elem_type") == "text", noise)).select(*elements.columns, "noise_type")
 

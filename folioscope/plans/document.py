@@ -16,7 +16,7 @@ def process_elements(elements: DataFrame, noise_filter: bool = True, caption_ext
     if noise_filter:
         out = noise.tag_noise(out)
     if caption_extraction:
-        out = links.extract_captions(out)
+        out = links.extract_captions(out, base=elements)
     if footnote_linking:
         out = links.mark_footnotes(out)
     return out
