@@ -6,7 +6,7 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -158,7 +158,9 @@ class BacktrackingBpe:
             out.append(ids.tobytes())
         return out
 
+    @cached_property
     def encoder(self) -> PieceEncoder:
+        """One for each worker: what it has learnt serves the next task."""
         return PieceEncoder(self.encode_many, {c: i.to_bytes(4, "little") for c, i in self.special.items()})
 
     def decode(self, ids: np.ndarray) -> str:
@@ -184,7 +186,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = vocabulary(path).encoder()
+        encoder = vocabulary(path).encoder
         for batch in batches:
             ids = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
@@ -213,7 +215,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocabulary(path)
-        encoder = table.encoder()
+        encoder = table.encoder
         for batch in batches:
             ids = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
             back = [sha(table.decode(np.frombuffer(x, "<u4")).encode()).hexdigest() for x in ids]

@@ -49,37 +49,44 @@ class PieceEncoder:
             cache.update(zip(new, encode(new), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        spaced: set[str] = set()
+        # What a text's pieces have in the cache is looked up once; only texts with an unknown piece are gone through again.
+        rows: list[tuple[list[str], list[bytes | None]] | bytes] = []
+        fresh: set[str] = set()
         plain: set[str] = {""}
-        for text in texts:
-            parts = None
-            if self.at_special is None or not any(x in text for x in self.special):
-                parts = text.split(" ")
-                plain.add(parts[0])
-                spaced.update(parts[1:])
-            split.append(parts)
-        fresh = spaced.difference(self.spaced)
+        marked = {}  # first, as they learn for themselves
+        for k, text in enumerate(texts):
+            if self.at_special is not None and any(x in text for x in self.special):
+                marked[k] = b"".join(self.special[x] if x in self.special else self.encode([x])[0] for x in self.at_special.split(text) if x)
+        for k, text in enumerate(texts):
+            if k in marked:
+                rows.append(marked[k])
+                continue
+            parts = text.split(" ")
+            found = list(map(self.spaced.get, parts))
+            found[0] = None
+            fresh.update([x for x, ids in zip(parts, found, strict=True) if ids is None][1:])
+            plain.add(parts[0])
+            rows.append((parts, found))
         odd = {x for x in fresh if not x or x[0].isspace() or x[-1].isspace()}
         cut: dict[int, list[str]] = {}
-        for k, (text, parts) in enumerate(zip(texts, split, strict=True)):
-            if parts is None:
-                continue
-            head = parts[0]
-            if len(parts) > 1 and (not head or head[-1].isspace() or odd and not odd.isdisjoint(parts)):
-                cut[k] = WORDS.findall(text)
+        for k, row in enumerate(rows):
+            if isinstance(row, tuple) and len(row[0]) > 1 and (not row[0][0] or row[0][0][-1].isspace() or odd and not odd.isdisjoint(row[0])):
+                cut[k] = WORDS.findall(texts[k])
                 plain.update(cut[k])
-        spaced -= odd
-        self._learn(self.spaced, spaced if len(self.spaced) + len(fresh) > self.limit else fresh - odd, self.encode_spaced)
+        self._learn(self.spaced, fresh - odd, self.encode_spaced)
         self._learn(self.plain, plain, self.encode_many)
         out = []
-        for k, (text, parts) in enumerate(zip(texts, split, strict=True)):
-            if parts is None:
-                out.append(b"".join(self.special[x] if x in self.special else self.encode([x])[0] for x in self.at_special.split(text) if x))
+        for k, row in enumerate(rows):
+            if isinstance(row, bytes):
+                out.append(row)
             elif k in cut:
                 out.append(b"".join(map(self.plain.__getitem__, cut[k])))
             else:
-                out.append(b"".join([self.plain[parts[0]], *map(self.spaced.__getitem__, parts[1:])]))
+                parts, found = row
+                found[0] = self.plain[parts[0]]
+                if not all(found):
+                    found = [self.spaced[x] if ids is None else ids for x, ids in zip(parts, found, strict=True)]
+                out.append(b"".join(found))
         return out
 
 

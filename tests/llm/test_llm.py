@@ -68,7 +68,7 @@ def test_encoders_equal_the_library(which):
     texts = _weird() + [t or "" for t in _texts()]
     expected = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     table = bpe.vocabulary(path)
-    encoder = {"own": table.encoder(), "library": chunks.library_encoder(path), "small cache": chunks.PieceEncoder(table.encode_many, {}, limit=5)}[which]
+    encoder = {"own": table.encoder, "library": chunks.library_encoder(path), "small cache": chunks.PieceEncoder(table.encode_many, {}, limit=5)}[which]
     if which == "small cache":
         texts, expected = texts[:300], expected[:300]
     got = []
