@@ -14,7 +14,7 @@ from folioscope.llm.language import op1_language
 from folioscope.llm.mixing import op9_mixing, op9_sql
 from folioscope.llm.quality import op8_quality
 from folioscope.llm.simhash import op10_simhash
-from folioscope.llm.substring_dedup import op3_substring_dedup
+from folioscope.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 from folioscope.llm.token_store import op2_token_store
 
 
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op9_mixing": op9_sql()}
+    return {"op3_substring_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op9_mixing": op9_sql()}

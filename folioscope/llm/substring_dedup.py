@@ -326,3 +326,22 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that stay of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return deduplicate(docs, digest=True)[0].withColumnRenamed("id", "doc_id")
+
+
+#: The same in DuckDB, window by window as text; for small tables.
+OP3_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), w AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS t FROM d, unnest(range(1, len(ws) - {WINDOW - 2})) AS u(i)
+), f AS (
+  SELECT t, min(doc_id) AS first FROM w GROUP BY t
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS i FROM w JOIN f USING (t), range({WINDOW}) AS r(j) WHERE first < doc_id
+), words AS (
+  SELECT doc_id, i, ws[i] AS word FROM d, unnest(range(1, len(ws) + 1)) AS u(i)
+), kept AS (
+  SELECT doc_id, count(*) AS n, count(g.i) AS cut, string_agg(word, ' ' ORDER BY w.i) FILTER (g.i IS NULL) AS text FROM words w LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(cut, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
