@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,8 +15,8 @@ from folioscope.runtime import small_batches, written
 
 #: Vectors that centroids, graph and distance ratio are fitted on at most: those with the smallest hash.
 MAX_SAMPLE = 20_000
-#: Distinct vectors of a list, about, and the most lists.
-LIST_SIZE, MAX_LISTS = 512, 4096
+#: Lists per square root of the number of distinct vectors, and the most lists: lists and their sizes grow alike.
+LISTS_PER_ROOT, MAX_LISTS = 0.25, 4096
 #: Lists that a boundary vector is in at most, and how much farther than the nearest these may be.
 REPLICAS, BOUNDARY = 4, 1.1
 #: Neighbours of a centroid in the graph.
@@ -228,7 +229,7 @@ def search(vectors: DataFrame, query_rows: DataFrame, count: int = 20, id_col: s
     norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
     facts = distinct.agg(F.count("*").alias("n"), F.max(norm).alias("top")).first()
     sample = distinct.orderBy(F.xxhash64("vec"), F.col("ids")[0]).limit(MAX_SAMPLE).select("vec").toArrow()
-    lists = max(1, min(MAX_LISTS, -(-facts["n"] // LIST_SIZE)))
+    lists = max(1, min(MAX_LISTS, math.ceil(LISTS_PER_ROOT * math.sqrt(facts["n"]))))
     fitted = Centroids.fit(_matrix(sample.column("vec"), width), lists, float(np.sqrt(facts["top"])), count)
     # MAX_LISTS centroids and their edges, whatever the input.
     shared = spark.sparkContext.broadcast(fitted)
@@ -271,23 +272,23 @@ def search(vectors: DataFrame, query_rows: DataFrame, count: int = 20, id_col: s
     )
 
     def meet(queries: pa.Table, own: pa.Table) -> pa.Table:
-        names, ids, scores = [], [], []
+        # One row a query: its best here, as (score turned round, id), which sorts nearest first and ties to smaller ids.
+        names, best = [], []
         if queries.num_rows and own.num_rows:
+            names = queries.column("query").to_pylist()
             found = best_of(_matrix(queries.column("vec"), width), _matrix(own.column("vec"), width), own.column("ids").to_pylist(), count + 1)
-            for name, (x, s) in zip(queries.column("query").to_pylist(), found, strict=True):
-                names += [name] * len(x)
-                ids += x
-                scores += s
-        return pa.table({"query": pa.array(names, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
+            best = [[{"far": -s, "vec_id": x} for x, s in zip(ids, scores, strict=True)] for ids, scores in found]
+        kind = pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())]))
+        return pa.table({"query": pa.array(names, pa.int64()), "best": pa.array(best, kind)})
 
     keys = ["list", "vpart", "qpart"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query long, vec_id long, score double")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    top = met.dropDuplicates(["query", "vec_id"]).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= count + 1)
-    best = top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("k", "vec_id", "score"))).alias("best"))
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query long, best array<struct<far: double, vec_id: long>>")
+    # A query has count + 1 entries from each list and part that it asked.
+    merged = met.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, count + 1).alias("best"))
     names = asked.join(reps, "vec").select(F.col("id").alias("query_id"), "query")
     others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, count)
-    return names.join(best, "query").select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+    each = names.join(merged, "query").select("query_id", F.posexplode(others).alias("at", "x"))
+    return each.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", (F.lit(0.0) - F.col("x.far")).alias("score"))
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
