@@ -105,7 +105,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     named = written(identities(docs, id_col, text_col, size), "identities")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row")))
-    groups = named.groupBy("n_blocks", "name").agg(best.alias("best"), F.count("*").alias("group_size"))
+    # Written before the join, so that its two sides are plain shuffles and a group with many rows can be split.
+    groups = written(named.groupBy("n_blocks", "name").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
     joined = named.join(groups, ["n_blocks", "name"])
     return joined.select(
         "id",
