@@ -283,8 +283,9 @@ def search(vectors: DataFrame, query_rows: DataFrame, count: int = 20, id_col: s
 
     keys = ["list", "vpart", "qpart"]
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query long, best array<struct<far: double, vec_id: long>>")
-    # A query has count + 1 entries from each list and part that it asked.
-    merged = met.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, count + 1).alias("best"))
+    # A query has count + 1 entries from each list and part that it asked, and a vector comes from REPLICAS lists at most.
+    nearest = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, REPLICAS * (count + 1))
+    merged = met.groupBy("query").agg(nearest.alias("best")).select("query", F.slice(F.array_distinct("best"), 1, count + 1).alias("best"))
     names = asked.join(reps, "vec").select(F.col("id").alias("query_id"), "query")
     others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, count)
     each = names.join(merged, "query").select("query_id", F.posexplode(others).alias("at", "x"))
