@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.runtime import written
+from folioscope.runtime import drop, written
 
 #: Exponent by which each marginal's shares are flattened: 1 keeps them, 0 makes them equal.
 TEMPERATURES = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 #: Rounds of fitting over all marginals; share of all tokens that the sample aims at; seed of the draw.
 ROUNDS, SHARE, SEED = 8, 0.5, 42
+#: Fitting under the bound of probability 1 ends when no marginal is off by more than this share of its target, when it no longer falls, or after so many rounds.
+TOLERANCE, MAX_ROUNDS = 1e-3, 60
 #: Cells up to which their table is broadcast.
 MAX_BROADCAST_CELLS = 100_000
 _NONE = "\x00"
@@ -49,17 +51,63 @@ def rake(cells: DataFrame, names: list[str], rounds: int = ROUNDS) -> DataFrame:
     return out
 
 
+def _level(keys: list[str], names: list[str], target: Column) -> Column:
+    """The factor by which `free`, cut at `limit`, sums to the target in each group of `keys`; where all of it is too little, the one that cuts everything."""
+    at = F.when(F.col("free") > 0, F.col("limit") / F.col("free"))
+    order = Window.partitionBy(*keys).orderBy(at.asc_nulls_last(), *names)
+    cut = F.coalesce(F.sum("limit").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("free").over(order.rowsBetween(0, Window.unboundedFollowing))
+    return F.struct(F.when(rest > 0, (target - cut) / rest).alias("factor"), at.alias("at"))
+
+
+def _scaled(cells: DataFrame, keys: list[str], names: list[str], target: Column) -> DataFrame:
+    whole = Window.partitionBy(*keys)
+    cells = cells.withColumn("__l", _level(keys, names, target))
+    factor = F.coalesce(F.max(F.when(F.col("__l.factor") <= F.col("__l.at"), F.col("__l.factor"))).over(whole), F.max("__l.at").over(whole), F.lit(0.0))
+    return cells.withColumn("free", F.col("free") * factor).drop("__l")
+
+
+def rake_bounded(cells: DataFrame, names: list[str], share: float) -> DataFrame:
+    """cells with `bounded`: tokens fitted to the targets in turn, where no cell has more than tokens / share, so that no probability is above 1.
+
+    A cell at its bound stays there, and the other cells of the marginal's value take its rest. A target beyond the tokens
+    that its value can give is lowered to them first, and the marginal's other targets rise in proportion. Where no sample
+    meets all marginals together, the last round's fit stands.
+    """
+    for name in names:  # one row for each value: the targets that can be met
+        values = cells.groupBy(name).agg(F.sum(F.col("tokens") / F.lit(share)).alias("limit"), F.max(f"target_{name}").alias("free"))
+        total = float(values.agg(F.sum("free")).first()[0] or 0)
+        met = _scaled(values.withColumn("__all", F.lit(0)), ["__all"], [name], F.lit(total)).select(F.col(name).alias("__v"), F.least("free", "limit").alias(f"__t_{name}"))
+        cells = cells.join(met, F.col(name) == F.col("__v")).drop("__v")
+    now = written(cells.withColumn("limit", F.col("tokens") / F.lit(share)).withColumn("free", F.col("tokens").cast("double")), "raked")
+    last = float("inf")
+    for _ in range(MAX_ROUNDS):
+        out = now
+        for name in names:
+            out = _scaled(out, [name], names, F.col(f"__t_{name}"))
+        new = written(out, "raked")
+        drop(now)
+        now = new
+        sums = now.select(*[(F.abs(F.sum(F.least("free", "limit")).over(Window.partitionBy(n)) - F.col(f"__t_{n}")) / F.greatest(F.col(f"__t_{n}"), F.lit(1.0))).alias(n) for n in names])
+        worst = max(x or 0.0 for x in sums.agg(*[F.max(n) for n in names]).first())
+        if worst <= TOLERANCE or worst > 0.98 * last:  # met, or not to be met together
+            break
+        last = worst
+    return now.withColumn("bounded", F.least("free", "limit")).drop("free", "limit", *[f"__t_{n}" for n in names])
+
+
 def draw(doc_id: Column, seed: int = SEED) -> Column:
     """A number in [0, 1) that depends on seed and id alone."""
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8)
     return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def probabilities(docs: DataFrame, temperatures: dict[str, float] | None = None, rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
+def probabilities(docs: DataFrame, temperatures: dict[str, float] | None = None, rounds: int = ROUNDS, share: float = SHARE, bounded: bool = True) -> DataFrame:
     """(cells: one row per combination of marginals with tokens, targets, fitted and keep_prob).
 
-    docs has a column for each marginal and `tokens`. keep_prob is share * fitted / tokens, 1 at
-    most; a cell without tokens keeps its documents with probability `share`. Null values of a
+    docs has a column for each marginal and `tokens`. keep_prob is share * bounded / tokens (see
+    rake_bounded), so that the expected sample has the marginals aimed at; without `bounded`, share *
+    fitted / tokens cut at 1, and what is cut goes to no other cell. A cell without tokens keeps its documents with probability `share`. Null values of a
     marginal are a value of their own, written as the character U+0000.
     """
     temperatures = temperatures or TEMPERATURES
@@ -67,11 +115,13 @@ def probabilities(docs: DataFrame, temperatures: dict[str, float] | None = None,
     keyed = docs.select(*[F.coalesce(F.col(n).cast("string"), F.lit(_NONE)).alias(n) for n in names], "tokens")
     cells = written(keyed.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cells")
     fitted = rake(written(targets(cells, temperatures), "targets"), names, rounds)
-    ratio = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(F.lit(1.0))
+    if bounded:
+        fitted = rake_bounded(written(fitted, "raked"), names, share)
+    ratio = F.when(F.col("tokens") > 0, F.col("bounded" if bounded else "fitted") / F.col("tokens")).otherwise(F.lit(1.0))
     return written(fitted.withColumn("keep_prob", F.least(F.lit(1.0), F.lit(share) * ratio)), "fitted")
 
 
-def mixed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", topic_col: str | None = None, rounds: int = ROUNDS, share: float = SHARE, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", topic_col: str | None = None, rounds: int = ROUNDS, share: float = SHARE, seed: int = SEED, bounded: bool = True) -> DataFrame:
     """docs with __tokens, __topic, __prob and __kept: every row, whether it is drawn, and with what probability.
 
     Marginals are the columns source and lang, and topic_col or else a band of length. A document
@@ -83,7 +133,7 @@ def mixed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", topic
     rows = docs.withColumn("__tokens", tokens)
     rows = rows.withColumn("__topic", F.col(topic_col).cast("string") if topic_col else length_topic(F.col("__tokens")))
     marked = rows.select("source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"))
-    cells = probabilities(marked, rounds=rounds, share=share)
+    cells = probabilities(marked, rounds=rounds, share=share, bounded=bounded)
     keys = cells.select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"), F.col("keep_prob").alias("__prob"))
     if cells.count() <= MAX_BROADCAST_CELLS:
         keys = F.broadcast(keys)
@@ -98,9 +148,9 @@ def kept(docs: DataFrame) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probability and draw of every document."""
+    """Probability and draw of every document, as the SQL has them: fitted weights cut at 1. The pipeline fits under the bound."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
-    return mixed(docs).select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__prob", 6).alias("keep_prob"), F.col("__kept").alias("kept"))
+    return mixed(docs, bounded=False).select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__prob", 6).alias("keep_prob"), F.col("__kept").alias("kept"))
 
 
 def op9_sql(rounds: int = ROUNDS) -> str:

@@ -389,6 +389,28 @@ def test_mixing_fits_marginals(spark):
     assert mixing.kept(docs).columns == docs.columns and mixing.kept(docs.limit(0)).count() == 0
 
 
+def test_expected_sample_has_the_marginals(spark):
+    """Cells whose fitted weight is above their tokens give the rest to others; a target that can't be met goes to the other values."""
+    sizes = {("a", "en", "long"): 9000, ("a", "en", "short"): 300, ("a", "de", "long"): 900, ("b", "en", "long"): 400, ("b", "de", "short"): 60, ("b", "de", "long"): 3000, ("c", "de", "short"): 40, ("c", "en", "long"): 10}
+    docs = spark.createDataFrame([(*k, n) for k, n in sizes.items()], "source string, lang string, topic string, tokens long")
+    cells = mixing.probabilities(docs).collect()
+    assert any(mixing.SHARE * r.fitted > r.tokens for r in cells) and all(0 <= r.keep_prob <= 1 for r in cells)
+    whole = sum(sizes.values()) * mixing.SHARE
+    assert sum(r.keep_prob * r.tokens for r in cells) == pytest.approx(whole, rel=0.003)
+    for k, name in enumerate(mixing.TEMPERATURES):
+        has = {v: sum(n for c, n in sizes.items() if c[k] == v) for v in {c[k] for c in sizes}}
+        power = {v: n ** mixing.TEMPERATURES[name] for v, n in has.items()}
+        aim, full = {}, set()
+        while True:
+            left = whole - sum(has[v] for v in full)
+            aim = {v: has[v] if v in full else left * power[v] / sum(power[x] for x in has if x not in full) for v in has}
+            if not (over := {v for v in has if aim[v] > has[v]}):
+                break
+            full |= over
+        for v in has:
+            assert sum(r.keep_prob * r.tokens for r in cells if r[name] == v) == pytest.approx(aim[v], rel=0.005)
+
+
 # Pipeline and queries.
 
 
