@@ -28,10 +28,10 @@ BLOCKS = set(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 CONTAINERS = set("article aside body details dialog div figure footer form head header main menu nav section table title".split())
-BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|share|social|comments?|replies|disqus|related|recommended|newsletter|subscribe|signup|login|search|footer|masthead|topbar|toolbar|pagination)(?:$|[-_\s])",
-    re.IGNORECASE,
-)
+_NAMES = r"(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|share|social|comments?|replies|disqus|related|recommended|newsletter|subscribe|signup|login|search|footer|masthead|topbar|toolbar|pagination)"
+BOILERPLATE_NAMES = re.compile(rf"(?:^|[-_\s]){_NAMES}(?:$|[-_\s])", re.IGNORECASE)
+#: A class or id of nothing but such words: `comments`, not `related-work`.
+BOILERPLATE_ONLY = re.compile(rf"(?:^|\s){_NAMES}(?:[-_]+{_NAMES})*(?:$|\s)", re.IGNORECASE)
 
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<raw>{RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>|(?P<text>[^<]+|<)""",
@@ -60,19 +60,22 @@ class _Open:
     kind: str
     bad: bool
     good: bool
+    named: bool  # boilerplate by its class or id alone
+    suspended: int = 0  # of a content element: how many of those around it don't count inside it
 
 
 def items(page: str) -> list[Item]:
     """The page as a row of tags and texts; scripts, styles and markup comments are left out."""
     out: list[Item] = []
     stack: list[_Open] = []
-    bad = good = 0  # open boilerplate and content elements
+    bad = good = named = 0  # open boilerplate and content elements; those of the boilerplate that are judged by class or id alone
 
     def pop_to(k: int) -> None:
-        nonlocal bad, good
-        for x in stack[k:]:
-            bad -= x.bad
+        nonlocal bad, good, named
+        for x in reversed(stack[k:]):
+            bad += x.suspended - x.bad
             good -= x.good
+            named += x.suspended - x.named
         del stack[k:]
 
     for m in _TOKEN.finditer(page):
@@ -93,10 +96,15 @@ def items(page: str) -> list[Item]:
             kind = f"{name}.{marks}" if marks else name
             is_good = name in CONTENT or "articlebody" in marks
             # A header within the article holds its title; elsewhere it is the page's.
-            is_bad = not is_good and (name in BOILERPLATE or name == "header" and not good or bool(marks and name != "body" and BOILERPLATE_NAMES.search(marks)))
-            stack.append(_Open(name, kind, is_bad, is_good))
-            bad += is_bad
+            by_role = not is_good and (name in BOILERPLATE or name == "header" and not good)
+            # Within the article a section such as id="related-work" is its own.
+            by_name = not is_good and not by_role and bool(marks and name != "body" and (BOILERPLATE_ONLY if good else BOILERPLATE_NAMES).search(marks))
+            # A wrapper's class says little about the article inside it; an article that is a comment stays in the comments.
+            suspended = named if is_good and not good and not BOILERPLATE_ONLY.search(marks) else 0
+            stack.append(_Open(name, kind, by_role or by_name, is_good, by_name, suspended))
+            bad += by_role + by_name - suspended
             good += is_good
+            named += by_name - suspended
         inside = good > 0 and name not in CONTENT
         where, plain = ("content", "content") if inside and not bad else (stack[-1].kind, stack[-1].name) if stack else ("none", "none")
         out.append(Item(f"tag {name} in {where}", f"tag {name} in {plain}", 0, "", name in BLOCKS, bad > 0, inside))

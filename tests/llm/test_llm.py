@@ -212,6 +212,17 @@ def test_extraction(spark):
     assert html_extract.train(pages.limit(0)).weights == {}
 
 
+def test_wrappers_and_sections_with_boilerplate_names_keep_the_article():
+    body = "<h1>A title of five words</h1><p>" + "word " * 30 + "</p><section id='related-work'><p>Earlier work on it</p></section><p>The last words of the article itself.</p><div class='comments'><p>First!</p></div>"
+    text = "A title of five words\n" + " ".join(["word"] * 30) + "\nEarlier work on it\nThe last words of the article itself."
+    menu = "<div class='menu'><p>Home More</p></div>"
+    for page in (f"<div class='site no-sidebar'>{menu}<article>{body}</article>{menu}</div>", f"<div class='content-sidebar-wrap'><div id='page-search'><main>{body}</main></div>{menu}</div>", f"<div class='login'><div itemprop='articleBody'>{body}</div></div>"):
+        assert html_extract.Model().extract(page) == text
+        assert [x.dropped for x in html_extract.items(page) if "Home" in x.text] == [True] * page.count("Home")
+    assert html_extract.Model().extract(f"<nav><article>{body}</article></nav>") == ""
+    assert all(x.dropped for x in html_extract.items("<div id='comments'><article class='comment'>First!</article></div>") if x.text)
+
+
 def test_region_is_the_best_run():
     rng = random.Random(4)
     model = html_extract.Model()
