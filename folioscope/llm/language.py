@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,10 @@ MAX_WORDS, MAX_GRAMS = 60_000, 30_000
 MAX_LANGUAGES = 256
 #: Longest n-gram for a word that isn't known.
 ORDER = 4
+#: Share of a text's letters that words of its language must make up, for the text to be in it.
+LEAST_KNOWN = 0.2
+#: From this code point on, scripts write words without spaces: their characters are looked up instead.
+_UNSPACED = 0x0E00
 _STEP = 0xD6E8FEB86659FD93
 _letters: list[np.ndarray] = []
 
@@ -83,11 +87,12 @@ class _Words:
 
 @dataclass
 class Model:
-    """languages; per kind (0: words, n: n-grams of n characters) sorted keys and log frequencies, one column a language."""
+    """languages; per kind (0: words, n: n-grams of n characters) sorted keys, log frequencies and whether the language has the entry, one column a language."""
 
     languages: list[str]
     keys: list[np.ndarray]
     logs: list[np.ndarray]
+    seen: list[np.ndarray] = field(default_factory=list)
 
     def _known(self, kind: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = self.keys[kind]
@@ -141,6 +146,31 @@ class Model:
         return [self.languages[k] if h else "und" for k, h in zip(best, has, strict=True)], np.where(has, share, 0.0)
 
 
+    def known_share(self, texts: list[str], langs: list[str]) -> np.ndarray:
+        """Per text the share of its letters in words that were learnt in its language; unlike a likelihood, it doesn't grow with length."""
+        number = {x: k for k, x in enumerate(self.languages)}
+        out = np.zeros(len(texts))
+        for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
+            letters = known = 0.0
+            for piece in _pieces(text) if lang in number else []:
+                words = _Words([piece])
+                found, at = self._known(0, words.hashes)
+                share = np.zeros(len(words.starts))
+                share[found] = self.seen[0][at[found], number[lang]]
+                codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")
+                which = np.flatnonzero((share == 0) & (codes[words.starts] >= _UNSPACED))
+                if len(which):
+                    grams, owner = words.grams(1, which)
+                    found, at = self._known(1, grams)
+                    hits = np.zeros(len(grams))
+                    hits[found] = self.seen[1][at[found], number[lang]]
+                    share[which] = np.bincount(owner, hits, len(which)) / words.sizes[which]
+                letters += words.sizes.sum()
+                known += float((share * words.sizes).sum())
+            out[i] = known / letters if letters else 0.0
+        return out
+
+
 def train(docs: DataFrame, usable: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_rows: int = MAX_TRAINING_ROWS) -> Model:
     """Learn from the rows with a text and a language for which `usable` holds, about max_rows of each language.
 
@@ -177,7 +207,7 @@ def train(docs: DataFrame, usable: Column, lang_col: str = "lang", text_col: str
 
     counts = rows.filter(drawn).select("lang", "text").mapInArrow(count, "kind int, lang int, key long, n long")
     by_key = counts.groupBy("kind", "key").agg(*[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(languages))], F.sum("n").alias("total"))
-    keys, logs = [], []
+    keys, logs, had = [], [], []
     from folioscope.runtime import drop, written
 
     table = written(by_key, "language-counts")
@@ -190,9 +220,10 @@ def train(docs: DataFrame, usable: Column, lang_col: str = "lang", text_col: str
         n = top.drop(columns="key").to_numpy(np.float64).reshape(len(key), len(languages))[order]
         total = np.array([sums[kind][f"n{k}"] if kind in sums else 0 for k in range(len(languages))], np.float64)
         keys.append(key[order])
+        had.append(n > 0)
         logs.append(np.log((n + 0.5) / (total + 0.5 * max(1, len(key)))))
     drop(table)
-    return Model(languages, keys, logs)
+    return Model(languages, keys, logs, had)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,16 +242,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def kept(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows whose text is in a learnt language with a score of `least` or more; columns stay as they are."""
+def kept(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text", least_known: float = LEAST_KNOWN) -> DataFrame:
+    """The rows whose text is in a learnt language with a score of `least` or more, and with least_known of its letters in words of it; columns stay as they are.
+
+    The score alone only tells the learnt languages apart: it goes to 1 with length, whatever the text.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = shared.value.predict([x or "" for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()])
-            yield batch.filter(pa.array((np.array(langs) != "und") & (scores >= least)))
+            texts = [x or "" for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            langs, scores = shared.value.predict(texts)
+            yield batch.filter(pa.array((np.array(langs) != "und") & (scores >= least) & (shared.value.known_share(texts, langs) >= least_known)))
 
     return docs.mapInArrow(run, docs.schema)
 

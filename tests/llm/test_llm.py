@@ -336,6 +336,25 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_language_drops_texts_in_no_learnt_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train(docs, F.lit(True))
+    rng = random.Random(6)
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem."
+    strange = [finnish, polish, finnish * 50, *(" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(40)) for _ in range(40))]
+    own = [r.text for r in docs.limit(50).collect()]
+    assert (model.predict(strange)[1] >= 0.5).sum() > 30
+    assert sorted(r.doc_id for r in language.kept(_docs(spark, strange + own), model).collect() if r.doc_id < len(strange)) == []
+    assert language.kept(docs, model).count() == language.kept(docs, model, least_known=0.0).count()
+
+
+def test_unspaced_scripts_are_known_by_character(spark):
+    docs = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate([("天地玄黄宇宙洪荒", "zh"), ("some plain words", "en")] * 3)], "doc_id long, text string, lang string")
+    model = language.train(docs, F.lit(True))
+    assert model.known_share(["黄天宇地", "plain words", "other stuff", ""], ["zh", "en", "en", "und"]).tolist() == [1, 1, 0, 0]
+
+
 def test_language_backs_off_to_shorter_grams(spark):
     docs = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate([("aaba abab", "x"), ("zzyz yzyz", "y")] * 5)], "doc_id long, text string, lang string")
     model = language.train(docs, F.lit(True))
