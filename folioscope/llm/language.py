@@ -18,8 +18,6 @@ from folioscope.runtime import small_batches
 MAX_TRAINING_ROWS = 1500
 #: Words, and n-grams of each length, that a model holds: the most frequent.
 MAX_WORDS, MAX_GRAMS = 60_000, 30_000
-#: Languages that a model tells apart at most: the most frequent.
-MAX_LANGUAGES = 256
 #: Longest n-gram for a word that isn't known.
 ORDER = 4
 #: Share of a text's letters that words of its language must make up, for the text to be in it.
@@ -182,7 +180,7 @@ def train(docs: DataFrame, usable: Column, lang_col: str = "lang", text_col: str
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter(usable)
     rows = rows.filter("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()
     languages = sorted(x["lang"] for x in sizes)
     if not languages:
         return Model([], [np.zeros(0, np.uint64)] * (ORDER + 1), [np.zeros((0, 0))] * (ORDER + 1))

@@ -355,6 +355,12 @@ def test_unspaced_scripts_are_known_by_character(spark):
     assert model.known_share(["黄天宇地", "plain words", "other stuff", ""], ["zh", "en", "en", "und"]).tolist() == [1, 1, 0, 0]
 
 
+def test_every_language_is_learnt(spark):
+    docs = spark.createDataFrame([(k, chr(0x4E00 + k) * 3, f"l{k:03}") for k in range(260)], "doc_id long, text string, lang string")
+    model = language.train(docs, F.lit(True))
+    assert model.predict([chr(0x4E00 + k) * 3 for k in range(260)])[0] == [f"l{k:03}" for k in range(260)]
+
+
 def test_language_backs_off_to_shorter_grams(spark):
     docs = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate([("aaba abab", "x"), ("zzyz yzyz", "y")] * 5)], "doc_id long, text string, lang string")
     model = language.train(docs, F.lit(True))
