@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """(a, b): links among distinct fingerprints `fp` at `radius` differing bits or fewer (radius 2 or 3 here).
+    """(a, b): links among distinct fingerprints `fp` at `radius` differing bits or fewer (radius 2 here).
 
     Each fingerprint emits itself and its 64 one-bit variants. Two fingerprints at distance 2
     share the variant midway, so shuffling on variants misses none. All fingerprints on one
