@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscope.llm.batches import pieces
 from folioscope.llm.chunks import library_encoder, vocabulary_path
 from folioscope.runtime import scratch_path, small_batches
 
@@ -132,13 +133,13 @@ def read_store(spark: SparkSession, path: str, digest: bool = False) -> DataFram
     is the sum of the shards before it, from one row for each shard.
     """
     segments = spark.read.schema(SEGMENT).parquet(path)
-    small_batches(spark, 16)
+    small_batches(spark)
     totals = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     # One row a shard, not one a document.
     bases = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 8):
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}")
                 count = row["n_docs"]

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -410,6 +411,41 @@ def test_ann_recall_and_ties(spark):
     assert len(few) == 20 and ann.search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_ann_prunes_most_candidates(spark):
+    """50,000 vectors without clusters, whose spectrum falls as that of embeddings does: recall against brute force, and the share of vectors that a query is compared with."""
+    rng = np.random.default_rng(3)
+    vectors = (rng.standard_normal((50_000, 64)) / np.sqrt(1 + np.arange(64) / 8)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    columns = {"vec_id": np.arange(50_000), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), 64).cast(pa.list_(pa.float32()))}
+    table = spark.createDataFrame(pa.table(columns))
+    got, compared = {}, {}
+    for r in ann.search(table, table.filter("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+        compared[r.query_id] = r.compared
+    queries = np.arange(0, 50_000, 100)
+    scores = vectors[queries].astype(np.float64) @ vectors.astype(np.float64).T
+    scores[np.arange(len(queries)), queries] = -np.inf
+    best = np.argpartition(-scores, 20, axis=1)[:, :20]
+    recall = np.mean([len(got[q] & set(b.tolist())) / 20 for q, b in zip(queries.tolist(), best, strict=True)])
+    share = np.mean([compared[q] for q in queries.tolist()]) / 50_000
+    print(f"recall {recall:.3f}, share compared {share:.3f}")
+    assert recall >= 0.9 and share < 0.2 and all(len(x) == 20 for x in got.values())
+
+
+def test_a_walk_finds_what_a_scan_finds():
+    rng = np.random.default_rng(4)
+    sample = rng.standard_normal((3000, 6))
+    lists = ann.Centroids.fit(sample, 1200, float(np.sqrt((sample * sample).sum(axis=1).max())))
+    queries = ann.flat(rng.standard_normal((200, 6)), lists.top)
+    near, value = lists.walk(queries, 40)  # an eighth of the graph is more
+    every = ann._squares(queries, lists.centres)
+    best = np.argsort(every, axis=1)[:, :40]
+    assert np.mean([len(set(a) & set(b)) / 40 for a, b in zip(near.tolist(), best.tolist(), strict=True)]) > 0.99
+    assert (np.diff(value, axis=1) >= 0).all()
+    sizes = np.ones(len(lists.centres), np.int64)
+    assert all(len(x) == 300 for x in lists.within(queries, 0.0, sizes, 300))
+
+
 # Mixing.
 
 
