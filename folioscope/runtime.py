@@ -28,16 +28,16 @@ def session(app: str = "folioscope", cores: str = "*", **conf: str) -> SparkSess
     return builder.getOrCreate()
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the Arrow batches of Python stages by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of Python stages by rows and by bytes: the same for every operator, as plans are lazy."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset.
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without it a temporary one.
 
-    Only a session without that setting (a local test) gets a machine-local folder.
+    On a cluster a machine-local folder would lose rows, so there the setting must be made.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None)
@@ -45,6 +45,8 @@ def shared_folder(spark: SparkSession) -> str:
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             folder = current.get()
+        elif not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             folder = "file://" + tempfile.mkdtemp(prefix="folioscope-")
             context.setCheckpointDir(folder)
@@ -70,6 +72,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def settled(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
+    """written(df, name), after which the tables that it was made from are removed."""
+    out = written(df, name)
+    for table in used:
+        drop(table)
+    return out
+
+
 def drop(df: DataFrame) -> None:
     """Remove a table made by written() that nothing reads any more."""
     path = getattr(df, "_scratch_path", None)
