@@ -1,4 +1,4 @@
-"""Substring deduplication over a log-structured index of window hashes."""
+"""Substring deduplication over a log-structured index of window hashes, whose matches are verified by the words."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.words import mix, word_hashes
+from folioscope.llm.words import interned, mix, word_digests
 from folioscope.runtime import small_batches
 
 #: Words of a window.
@@ -19,28 +19,38 @@ WINDOW = 13
 BLOCK_BYTES, BUCKET_ENTRIES = 8 << 20, 1 << 20
 #: Ranges of ids that blocks are dealt over at most; beyond, blocks share a range and entries carry ids.
 MAX_RANGES = 1 << 16
+#: Partitions that blocks or buckets are dealt over at most; beyond, a task takes several, one after another.
+MAX_PARTS = 1 << 16
+#: Bytes of text that count as one row where ids are cut into ranges.
+_GRAIN = 4096
 _Q1, _Q2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 _NO_ID = -(1 << 63)
+#: Owners of entries that are history, and of entries that no run has.
+_HISTORY, _NOWHERE = -1, -2
 
 RUN = "bucket long, turn long, block long, n long, gaps binary, low binary, check binary, docs binary"
 
 
-def window_hashes(words: np.ndarray, bounds: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, 64-bit hash, 16-bit check) of every window of `size` words that lies in one text.
-
-    The check comes from a second, independent sum over the words, and verifies a match.
-    """
-    n = len(words) - size + 1
+def window_hashes(one: np.ndarray, two: np.ndarray, bounds: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, 64-bit key, 16-bit check) of every window of `size` words that lies in one text; one, two: the words' two hashes."""
+    n = len(one) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint16)
-    one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    other = mix(words ^ _Q2)
-    for k in range(size):
-        one = (one + words[k : k + n]) * _Q1
-        two = (two + other[k : k + n]) * _Q2
     last = np.repeat(bounds[1:], np.diff(bounds))[:n]
     at = np.flatnonzero(np.arange(n) + size <= last)
-    return at, mix(one[at]), (mix(two[at]) >> np.uint64(48)).astype(np.uint16)
+    keys, checks = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for k in range(size):
+        keys = (keys + one[k : k + n]) * _Q1
+        checks = (checks + two[k : k + n]) * _Q2
+    return at, mix(keys[at]), (mix(checks[at]) >> np.uint64(48)).astype(np.uint16)
+
+
+def _same_words(a: np.ndarray, at: np.ndarray, b: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which windows a[at:at + WINDOW] and b[other:other + WINDOW] have the same words, given as their numbers."""
+    out = np.ones(len(at), bool)
+    for k in range(WINDOW):
+        out &= a[at + k] == b[other + k]
+    return out
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -73,67 +83,82 @@ def unpack_sorted(gaps: bytes, low: bytes, n: int) -> np.ndarray:
 
 
 class RunIndex:
-    """Immutable sorted runs of (key, check); a batch is merge-joined with each, then becomes a run.
+    """Immutable sorted runs of (key, check, owner); a batch is merge-joined with each, then becomes a run.
 
-    Runs of like size are merged into one (compaction), so there are about log2 of the batches.
+    Runs of like size are merged into one (compaction), which keeps the newest owner of an
+    entry, so there are about log2 of the batches.
     """
 
     def __init__(self) -> None:
-        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def seen(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
-        """Which (key, check) any run holds."""
-        found = np.zeros(len(keys), bool)
-        for old, old_checks in self.runs:
-            at = np.searchsorted(old, keys)
-            while True:
-                # Keys that are equal with another check lie side by side.
-                inside = np.minimum(at, len(old) - 1)
-                same = (at < len(old)) & (old[inside] == keys)
-                hit = same & (old_checks[inside] == checks)
-                found |= hit
-                if not (same & ~hit).any():
-                    break
-                at = at + (same & ~hit)
-                if not (at < len(old)).any():
-                    break
-                at = np.where(same, at, len(old))
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def owners(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The newest owner of each (key, check); _NOWHERE if no run holds it."""
+        found = np.full(len(keys), _NOWHERE, np.int64)
+        left = np.arange(len(keys))
+        for old, old_checks, own in reversed(self.runs):
+            at = _find(old, old_checks, keys[left], checks[left])
+            found[left[at >= 0]] = own[at[at >= 0]]
+            left = left[at < 0]
         return found
 
-    def add(self, keys: np.ndarray, checks: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, checks: np.ndarray, owners: np.ndarray) -> None:
         """Append a run of ascending keys; compact while the last run is at least half the one before."""
         if len(keys) == 0:
             return
-        self.runs.append((keys, checks))
+        self.runs.append((keys, checks, owners))
         while len(self.runs) > 1 and 2 * len(self.runs[-1][0]) >= len(self.runs[-2][0]):
-            (a, x), (b, y) = self.runs[-2:]
-            joined, marks = np.concatenate([a, b]), np.concatenate([x, y])
+            joined, marks, own = (np.concatenate(x) for x in zip(*self.runs[-2:], strict=True))
             order = np.argsort(joined, kind="stable")
-            self.runs[-2:] = [(joined[order], marks[order])]
+            joined, marks, own = joined[order], marks[order], own[order]
+            newer = np.zeros(len(joined), bool)  # is the next entry the same one with a newer owner?
+            newer[:-1] = (joined[1:] == joined[:-1]) & (marks[1:] == marks[:-1])
+            self.runs[-2:] = [(joined[~newer], marks[~newer], own[~newer])]
 
 
-def _firsts(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by key, check and doc; which of them start a new (key, check))."""
-    order = np.lexsort((docs, checks, keys))
+def _find(old: np.ndarray, old_checks: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Where (key, check) lies in a run of ascending keys, or -1."""
+    found = np.full(len(keys), -1, np.int64)
+    if len(old) == 0:
+        return found
+    at = np.searchsorted(old, keys)
+    while True:
+        inside = np.minimum(at, len(old) - 1)
+        same = (at < len(old)) & (old[inside] == keys)
+        hit = same & (old_checks[inside] == checks)
+        found = np.where(hit & (found < 0), inside, found)
+        same &= found < 0  # keys that are equal with another check lie side by side
+        if not same.any():
+            return found
+        at = np.where(same, at + 1, len(old))
+
+
+def _firsts(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order by key, check and doc; which of them start a new (key, check)). Without docs, rows are in their order already."""
+    order = np.argsort(keys, kind="stable") if docs is None else np.lexsort((docs, checks, keys))
     k, c = keys[order], checks[order]
+    if docs is None and ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
+        order = np.lexsort((checks, keys))
+        k, c = keys[order], checks[order]
     new = np.ones(len(order), bool)
     new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
     return order, new
 
 
 class _Block:
-    """The documents of a block in order of id, with their windows."""
+    """The documents of a block in order of id, with their words as numbers and their windows."""
 
     def __init__(self, table: pa.Table):
-        order = np.argsort(np.array([_NO_ID if x is None else x for x in table.column("id").to_pylist()], np.int64), kind="stable")
+        names = [_NO_ID if x is None else x for x in table.column("id").to_pylist()]
+        order = np.argsort(np.array(names, np.int64), kind="stable")
         table = table.take(pa.array(order))
         self.names = table.column("id").to_pylist()
         self.ids = np.array([_NO_ID if x is None else x for x in self.names], np.int64)
         self.texts = [(x or "").encode() for x in table.column("text").to_pylist()]
-        words, self.bounds = word_hashes(self.texts)
-        self.at, self.keys, self.checks = window_hashes(words, self.bounds)
+        self.words, self.bounds, self.number = interned(self.texts)
+        one, two = word_digests(self.number)
+        self.at, self.keys, self.checks = window_hashes(one[self.words], two[self.words], self.bounds)
         self.doc = np.searchsorted(self.bounds, self.at, side="right") - 1 if len(self.at) else self.at
-        self.order, self.new = _firsts(self.keys, self.checks, self.doc)
 
 
 def window_runs(docs: DataFrame, bits: int, id_bytes: int) -> DataFrame:
@@ -141,11 +166,13 @@ def window_runs(docs: DataFrame, bits: int, id_bytes: int) -> DataFrame:
 
     docs: turn (rank of the range of ids), block, id, text.
     id_bytes: width of the first document's id; 0 where a range is one block, as then `turn` alone tells which is earlier.
+    A block's rows must lie in one partition.
     """
 
     def emit(table: pa.Table) -> pa.Table:
         block = _Block(table)
-        first = block.order[block.new]
+        order, new = _firsts(block.keys, block.checks)
+        first = order[new]
         keys, checks = block.keys[first], block.checks[first]
         ids = block.ids[block.doc[first]] if id_bytes else np.zeros(len(first), np.int64)
         buckets = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
@@ -172,42 +199,101 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return unpack_sorted(row["gaps"], row["low"], n), np.frombuffer(row["check"], np.uint16), _unplanes(row["docs"], width, n).view(np.int64)
 
 
+HITS = "first long, n long, gaps binary, low binary, check binary, blocks binary"
+
+
 def earlier_windows(runs: DataFrame) -> DataFrame:
-    """(block, n, gaps, low, check): the window hashes of each block of which an earlier document, outside the block, has one too.
+    """HITS rows: windows of `blocks` (one for each window) that an earlier document in the block `first` seems to have, by their hashes.
 
     In each bucket, batches go in order of `turn`: a batch is merge-joined with the runs of
-    all before it, then becomes a run itself. Runs with turn < 0 are history and have no block to answer to.
+    all before it, then becomes a run itself. A window's owner is the last block before that has
+    it, so a passage of many blocks asks each of them once, not its first for all. Runs with
+    turn < 0 are history: they answer to no block, and what they own has first = -1 - block.
     """
 
     def merge(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["turn"], r["block"]))
-        index, out, k = RunIndex(), [], 0
+        index, k = RunIndex(), 0
+        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         while k < len(rows):
             j = k
             while j < len(rows) and rows[j]["turn"] == rows[k]["turn"]:
                 j += 1
             parts = [_unpacked(r) for r in rows[k:j]]
             keys, checks, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            own = np.repeat(np.arange(j - k), [len(p[0]) for p in parts])
-            order, new = _firsts(keys, checks, ids)
-            keys, checks, ids, own = keys[order], checks[order], ids[order], own[order]
+            block = np.repeat(np.array([r["block"] for r in rows[k:j]], np.int64), [len(p[0]) for p in parts])
+            order, new = _firsts(keys, checks, ids if j > k + 1 else None)
+            keys, checks, ids, block = keys[order], checks[order], ids[order], block[order]
             first = np.flatnonzero(new)
             if rows[k]["turn"] >= 0:
-                seen = index.seen(keys[first], checks[first])
                 group = np.cumsum(new) - 1
-                hit = seen[group] | (ids > ids[first][group])
-                for i in range(j - k):
-                    mine = np.flatnonzero(hit & (own == i))
-                    if len(mine):
-                        gaps, low = pack_sorted(keys[mine])
-                        out.append((rows[k + i]["block"], len(mine), gaps, low, checks[mine].tobytes()))
-            index.add(keys[first], checks[first])
+                owner = index.owners(keys[first], checks[first])[group]
+                inside = (owner == _NOWHERE) & (ids > ids[first][group])  # a range that blocks share
+                owner[inside] = block[first][group][inside]
+                mine = owner != _NOWHERE
+                hits.append((np.where(owner == _HISTORY, -1 - block, owner)[mine], keys[mine], checks[mine], block[mine]))
+                index.add(keys[first], checks[first], block[first])
+            else:
+                index.add(keys[first], checks[first], np.full(len(first), _HISTORY, np.int64))
             k = j
-        columns = list(zip(*out, strict=True)) if out else [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "n", "gaps", "low", "check"), columns, kinds, strict=True)})
+        out: list[tuple] = []
+        if hits:
+            owner, keys, checks, block = (np.concatenate(x) for x in zip(*hits, strict=True))
+            order = np.lexsort((keys, owner))
+            owner, keys, checks, block = owner[order], keys[order], checks[order], block[order]
+            cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else np.zeros(0, np.int64)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                gaps, low = pack_sorted(keys[a:b])
+                out.append((int(owner[a]), int(b - a), gaps, low, checks[a:b].tobytes(), _planes(block[a:b], 5)))
+        columns = list(zip(*out, strict=True)) if out else [()] * 6
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("first", "n", "gaps", "low", "check", "blocks"), columns, kinds, strict=True)})
 
-    return runs.groupBy("bucket").applyInArrow(merge, "block long, n long, gaps binary, low binary, check binary")
+    return runs.groupBy("bucket").applyInArrow(merge, HITS)
+
+
+WITNESS = "block long, id long, text binary, n long, gaps binary, low binary, check binary"
+
+
+def witnesses(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """WITNESS rows: for the windows asked for, the words that the earlier document `id` has there, sent to the block that asks.
+
+    Overlapping windows are sent as one stretch of words. What history owns has no words: its hashes are sent on.
+    """
+
+    def send(own: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if asked.num_rows and own.num_rows == 0:
+            first = asked.column("first")[0].as_py()
+            out = [(-1 - first, None, None, r["n"], r["gaps"], r["low"], r["check"]) for r in asked.to_pylist()]
+        elif asked.num_rows:
+            block = _Block(own)
+            found = asked.to_pylist()
+            keys = np.concatenate([unpack_sorted(r["gaps"], r["low"], r["n"]) for r in found])
+            checks = np.concatenate([np.frombuffer(r["check"], np.uint16) for r in found])
+            to = np.concatenate([_unplanes(r["blocks"], 5, r["n"]).view(np.int64) for r in found])
+            order, new = _firsts(keys, checks)
+            head = order[new]
+            which = _find(keys[head], checks[head], block.keys, block.checks)
+            mine = np.flatnonzero(which >= 0)[::-1]
+            place = np.full(len(head), -1, np.int64)
+            place[which[mine]] = mine  # the block's first window of each key: assigned last
+            window = np.empty(len(keys), np.int64)
+            window[order] = place[np.cumsum(new) - 1]
+            to, window = to[window >= 0], window[window >= 0]
+            order = np.lexsort((window, to))
+            to, window = to[order], window[order]
+            at = block.at[window]
+            cuts = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (at[1:] - at[:-1] >= WINDOW), [True]))) if len(at) else np.zeros(0, np.int64)
+            words = list(block.number)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                text = b" ".join([words[k] for k in block.words[at[a] : at[b - 1] + WINDOW].tolist()])
+                out.append((int(to[a]), int(block.ids[block.doc[window[a]]]), text, None, None, None, None))
+        columns = list(zip(*out, strict=True)) if out else [()] * 7
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "id", "text", "n", "gaps", "low", "check"), columns, kinds, strict=True)})
+
+    return rows.groupBy("block").cogroup(hits.groupBy("first")).applyInArrow(send, WITNESS)
 
 
 def compacted(runs: DataFrame) -> DataFrame:
@@ -217,7 +303,7 @@ def compacted(runs: DataFrame) -> DataFrame:
         rows = table.to_pylist()
         parts = [_unpacked(r) for r in rows]
         keys, checks = (np.concatenate([p[i] for p in parts]) for i in range(2))
-        order, new = _firsts(keys, checks, np.zeros(len(keys), np.int64))
+        order, new = _firsts(keys, checks)
         keys, checks = keys[order][new], checks[order][new]
         gaps, low = pack_sorted(keys)
         row = {"bucket": rows[0]["bucket"], "turn": -1, "block": -1, "n": len(keys), "gaps": gaps, "low": low, "check": checks.tobytes(), "docs": b""}
@@ -226,46 +312,84 @@ def compacted(runs: DataFrame) -> DataFrame:
     return runs.groupBy("bucket").applyInArrow(merge, RUN)
 
 
-def _removal(block: _Block, hits: list[dict]) -> np.ndarray:
-    """Per word of the block: is it covered by a window that an earlier document has?"""
+def _removal(block: _Block, told: list[dict]) -> np.ndarray:
+    """Per word of the block: is it covered by a window whose words an earlier document has?"""
     removed = np.zeros(int(block.bounds[-1]) + 1, np.int32)
     if len(block.at) == 0:
         return removed[:-1] > 0
-    order, group = block.order, np.cumsum(block.new) - 1
-    ids = block.ids[block.doc[order]]
-    first = np.flatnonzero(block.new)
+    order, new = _firsts(block.keys, block.checks)
+    group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    at, ids = block.at[order], block.ids[block.doc[order]]
     dup = ids > ids[first][group]
-    outside = RunIndex()
-    for row in hits:
-        outside.runs.append((unpack_sorted(row["gaps"], row["low"], row["n"]), np.frombuffer(row["check"], np.uint16)))
-    if hits:
-        # Hits come as one run per bucket, and buckets are ranges of keys: side by side they are one sorted run.
-        outside.runs.sort(key=lambda r: int(r[0][0]))
-        outside.runs = [tuple(np.concatenate(x) for x in zip(*outside.runs, strict=True))]
-    head = order[first]
-    dup |= outside.seen(block.keys[head], block.checks[head])[group] if hits else False
-    at = block.at[order[dup]]
+    # Windows with one hash are compared word by word; should two differ, their group is told apart by the words.
+    differ = ~_same_words(block.words, at, block.words, at[first][group])
+    for g in np.unique(group[differ]):
+        least: dict[tuple, int] = {}
+        for m in np.flatnonzero(group == g):
+            dup[m] = ids[m] > least.setdefault(tuple(block.words[at[m] : at[m] + WINDOW].tolist()), ids[m])
+    if texts := [(r["id"], r["text"]) for r in told if r["text"] is not None]:
+        _compare(block, order, at, ids, dup, texts)
+    history = RunIndex()
+    history.runs = [(unpack_sorted(r["gaps"], r["low"], r["n"]), np.frombuffer(r["check"], np.uint16), np.zeros(r["n"], np.int64)) for r in told if r["text"] is None]
+    if history.runs:
+        # They come as one run per bucket, and buckets are ranges of keys: side by side they are one sorted run.
+        history.runs.sort(key=lambda r: int(r[0][0]))
+        history.runs = [tuple(np.concatenate(x) for x in zip(*history.runs, strict=True))]
+        head = order[first]
+        dup |= (history.owners(block.keys[head], block.checks[head]) != _NOWHERE)[group]
+    at = at[dup]
     np.add.at(removed, at, 1)
     np.add.at(removed, at + WINDOW, -1)
     return np.cumsum(removed[:-1]) > 0
 
 
-def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
-    """(rows with turn, block, id, text; bits of a bucket number; bytes of an id in an entry).
-
-    Ids are cut at quantiles into ranges of about BLOCK_BYTES of text. The cuts are found by
-    a scan of the ids alone and stand in the plan as two levels, so a row compares with about
-    twice the root of their number. Where more than MAX_RANGES would be needed, a range is
-    shared by several blocks.
+def _compare(block: _Block, order: np.ndarray, at: np.ndarray, ids: np.ndarray, dup: np.ndarray, texts: list[tuple[int, bytes]]) -> None:
+    """Mark in `dup` the windows (in `order`) whose words one of the texts of earlier documents has."""
+    words: list[int] = []
+    bounds = [0]
+    for _, text in texts:
+        words += [block.number.setdefault(x, len(block.number)) for x in text.split()]
+        bounds.append(len(words))
+    numbers = np.array(words, np.int64)
+    one, two = word_digests(block.number)
+    their_at, keys, checks = window_hashes(one[numbers], two[numbers], np.array(bounds))
+    their_id = np.array([x for x, _ in texts], np.int64)[np.searchsorted(bounds, their_at, side="right") - 1]
+    by = np.lexsort((their_id, checks, keys))
+    keys, checks, their_at, their_id = keys[by], checks[by], their_at[by], their_id[by]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1]) | ~_same_words(numbers, their_at[1:], numbers, their_at[:-1])
+    keys, checks, their_at, their_id = keys[fresh], checks[fresh], their_at[fresh], their_id[fresh]
+    left = np.flatnonzero(~dup)
+    place = _find(keys, checks, block.keys[order][left], block.checks[order][left])
+    left, place = left[place >= 0], place[place >= 0]
+    while len(left):
+        hit = _same_words(block.words, at[left], numbers, their_at[place]) & (their_id[place] < ids[left])
+        dup[left[hit]] = True
+        # Another text may have the same hash with the right words: it lies next.
+        after = np.minimum(place + 1, len(keys) - 1)
+        go = ~hit & (after > place) & (keys[after] == keys[place]) & (checks[after] == checks[place])
+        left, place = left[go], after[go]
+
+
+def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int, int]:
+    """(rows with turn, block, id, text; bits of a bucket number; bytes of an id in an entry; number of blocks).
+
+    Ids are cut into ranges of about BLOCK_BYTES of text, at quantiles in which a row counts by
+    its bytes. The cuts are found by a scan of ids and lengths and stand in the plan as two
+    levels, so a row compares with about twice the root of their number. Where more than
+    MAX_RANGES would be needed, a range is shared by several blocks. Rows with a null id are
+    earlier than all others and not than each other: they share the first turn and are dealt over blocks by their text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    size = rows.agg(*[F.coalesce(F.sum(F.when(x, length)), F.lit(0)).alias(n) for n, x in (("bytes", F.col("id").isNotNull()), ("nulls", F.col("id").isNull()))]).first()
     blocks = max(1, -(-size["bytes"] // BLOCK_BYTES))
     ranges = min(blocks, MAX_RANGES)
     share = -(-blocks // ranges)
     cuts: list[int] = []
     if ranges > 1:
-        found = rows.filter("id is not null").agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], max(10_000, 20 * ranges)).alias("q")).first()["q"]
+        weighed = rows.filter("id is not null").select("id", F.explode(F.sequence(F.lit(0), F.expr(f"cast(coalesce(octet_length(text), 0) div {_GRAIN} as int)"))))
+        found = weighed.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], max(10_000, 20 * ranges)).alias("q")).first()["q"]
         cuts = sorted(set(found or []))
     step = max(1, int(len(cuts) ** 0.5))
     groups = [cuts[k : k + step] for k in range(0, len(cuts), step)]
@@ -274,14 +398,16 @@ def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         above = F.size(F.filter(F.array(*[F.lit(g[0]) for g in groups]), lambda x: x <= key))
         nested = F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups])
         inner = F.when(above == 0, 0).otherwise((above - 1) * step + F.size(F.filter(F.element_at(nested, F.greatest(above, F.lit(1))), lambda x: x <= key)))
-        turn = inner.cast("long")
+        turn = inner.cast("long") + 1
     else:
-        turn = F.lit(0).cast("long")
-    rows = rows.withColumn("turn", turn)
+        turn = F.lit(1).cast("long")
+    rows = rows.withColumn("turn", F.when(F.col("id").isNull(), F.lit(0).cast("long")).otherwise(turn))
     block = F.col("turn") if share == 1 else F.col("turn") * share + F.pmod(F.xxhash64(key), F.lit(share))
-    rows = rows.withColumn("block", block)
-    bits = max(0, min(23, (max(1, size["bytes"] // 6) // BUCKET_ENTRIES).bit_length()))
-    return rows.select("turn", "block", "id", "text"), bits, 0 if share == 1 else 8
+    beyond, spread = (ranges + 1) * share, max(1, -(-size["nulls"] // BLOCK_BYTES))
+    rows = rows.withColumn("block", F.when(F.col("id").isNull(), F.lit(beyond) + F.pmod(F.xxhash64("text"), F.lit(spread))).otherwise(block))
+    whole = size["bytes"] + size["nulls"]
+    bits = max(0, min(23, (max(1, whole // 6) // BUCKET_ENTRIES).bit_length()))
+    return rows.select("turn", "block", "id", "text"), bits, 0 if share == 1 else 8, blocks + spread - 1
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", history: DataFrame | None = None, digest: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -293,19 +419,26 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id counts as smaller than any; rows with one id are not earlier than each other.
     Extra columns are ignored. A history must have been made with the same number of buckets.
 
-    Texts are shuffled once, by block; blocks and window hashes meet again in the same
+    Hashes only find candidates: the earlier document's words are sent to the block that has
+    the window and compared there before a word goes. A history holds no words; matches with it go by 80 bits.
+
+    Texts are shuffled once, by block; blocks, window hashes and the words asked for meet again in the same
     partitions. A window of many documents has one entry per block, so a common passage
     weighs no more than the blocks it is in.
     """
     small_batches(docs.sparkSession)
-    rows, bits, id_bytes = dealt(docs, id_col, text_col)
+    rows, bits, id_bytes, blocks = dealt(docs, id_col, text_col)
+    parts = min(blocks, MAX_PARTS)
+    rows = rows.repartition(parts, "block")
     runs = window_runs(rows, bits, id_bytes)
-    hits = earlier_windows(runs if history is None else runs.unionByName(history))
+    every = runs if history is None else runs.unionByName(history)
+    hits = earlier_windows(every.repartition(min(max(parts, 1 << bits), MAX_PARTS), "bucket"))
+    told = witnesses(rows, hits.repartition(parts, "first"))
     last = "kept_sha256" if digest else "kept"
 
     def apply(own: pa.Table, found: pa.Table) -> pa.Table:
         block = _Block(own)
-        gone = _removal(block, found.select(["n", "gaps", "low", "check"]).to_pylist())
+        gone = _removal(block, found.select(["id", "text", "n", "gaps", "low", "check"]).to_pylist())
         names, counts, cut, kept = [], [], [], []
         for k, text in enumerate(block.texts):
             mine = gone[block.bounds[k] : block.bounds[k + 1]]
@@ -318,7 +451,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode())
         return pa.table({"id": pa.array(names, pa.int64()), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(cut, pa.int64()), last: pa.array(kept, pa.string())})
 
-    result = rows.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(apply, f"id long, n_words long, n_removed long, {last} string")
+    result = rows.groupBy("block").cogroup(told.repartition(parts, "block").groupBy("block")).applyInArrow(apply, f"id long, n_words long, n_removed long, {last} string")
     return result, runs
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -122,3 +123,21 @@ def word_hashes(texts: list[bytes], shapes: bool = False) -> tuple[np.ndarray, .
         k = j
     bounds = np.cumsum(counts)
     return (np.concatenate(hashes), np.concatenate(looks), bounds) if shapes else (np.concatenate(hashes), bounds)
+
+
+def interned(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
+    """(number of every word in order, bounds, number of each distinct word): two words have one number exactly if their bytes are equal."""
+    words: list[bytes] = []
+    counts = np.zeros(len(texts) + 1, np.int64)
+    for k, text in enumerate(texts):
+        own = text.split()
+        counts[k + 1] = len(own)
+        words += own
+    number = {x: k for k, x in enumerate(dict.fromkeys(words))}
+    return np.fromiter(map(number.__getitem__, words), np.int64, len(words)), np.cumsum(counts), number
+
+
+def word_digests(words: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word: the halves of its BLAKE2 digest, which no rule in the words makes collide."""
+    halves = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in words]), "<u8").reshape(-1, 2)
+    return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])

@@ -181,18 +181,64 @@ def test_substring_dedup_in_batches(spark):
     assert substring_dedup.deduplicate(_docs(spark, []))[0].count() == 0
 
 
-def test_run_index_verifies_by_check():
+def test_run_index_knows_the_newest_owner():
     index = substring_dedup.RunIndex()
     keys = np.array([1, 5, 5, 9], np.uint64)
-    index.add(keys, np.array([1, 1, 2, 3], np.uint16))
-    index.add(np.array([5, 7], np.uint64), np.array([4, 1], np.uint16))
+    index.add(keys, np.array([1, 1, 2, 3], np.uint16), np.array([10, 10, 10, 10]))
+    index.add(np.array([5, 7], np.uint64), np.array([4, 1], np.uint16), np.array([11, 11]))
+    index.add(np.array([5, 9], np.uint64), np.array([2, 3], np.uint16), np.array([12, 12]))
     asked = np.array([1, 1, 5, 5, 5, 7, 9, 10], np.uint64)
-    checks = np.array([1, 2, 2, 4, 9, 1, 1, 0], np.uint16)
-    assert index.seen(asked, checks).tolist() == [True, False, True, True, False, True, False, False]
+    checks = np.array([1, 2, 2, 4, 9, 1, 3, 0], np.uint16)
+    assert index.owners(asked, checks).tolist() == [10, -2, 12, 11, -2, 11, 12, -2]
     gaps, low = substring_dedup.pack_sorted(np.array([0, 3, 1 << 63, (1 << 64) - 1], np.uint64))
     assert substring_dedup.unpack_sorted(gaps, low, 4).tolist() == [0, 3, 1 << 63, (1 << 64) - 1]
 
 
+def _thue_morse(n):
+    return "".join("ab"[k.bit_count() % 2] for k in range(n))
+
+
+def test_words_made_to_collide_stay(spark):
+    tail = " one two three four five six seven eight nine ten eleven twelve"
+    texts = []
+    for n in (1024, 2048, 4096):
+        word = _thue_morse(n)
+        texts += [word + tail, word.translate(str.maketrans("ab", "ba")) + tail]
+    got = {r.id: (r.n_words, r.n_removed) for r in substring_dedup.deduplicate(_docs(spark, texts))[0].collect()}
+    assert got == {k: (13, 0) for k in range(6)}
+
+
+def test_hits_are_compared_word_by_word(monkeypatch):
+    """With hashes that nearly all windows share, the words alone decide: inside a block and against the words sent by another."""
+    real = substring_dedup.window_hashes
+
+    def coarse(one, two, bounds):
+        at, keys, checks = real(one, two, bounds)
+        return at, keys % np.uint64(3), checks * np.uint16(0)
+
+    monkeypatch.setattr(substring_dedup, "window_hashes", coarse)
+    texts = _texts()[:64]
+    table = lambda own: pa.table({"id": pa.array([i for i, _ in own], pa.int64()), "text": pa.array([t for _, t in own], pa.string())})
+    every = list(enumerate(texts))
+    expected = {i: n for i, _, n, _ in _removal(every)}
+    for cut in (0, 30):
+        block = substring_dedup._Block(table(every[cut:]))
+        told = [{"id": i, "text": (t or "").encode()} for i, t in every[:cut]]
+        gone = substring_dedup._removal(block, told)
+        got = {i: int(gone[a:b].sum()) for i, a, b in zip(block.ids.tolist(), block.bounds[:-1], block.bounds[1:], strict=True)}
+        assert got == {i: expected[i] for i in got} and sum(got.values()) > 0
+
+
+def test_null_and_repeated_ids_fill_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 800)
+    passage = " ".join(f"w{k}" for k in range(20))
+    rows = [(None, f"{passage} n{k}" * (1 + k % 3)) for k in range(30)] + [(k, f"own{k} {passage}") for k in range(10)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, turn string")
+    assert substring_dedup.dealt(docs)[0].filter("id is null").select("block").distinct().count() > 1
+    got = sorted(((r.id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.deduplicate(docs)[0].collect()), key=str)
+    assert got == _removal(rows)
+
+
 # Pages.
 
 PAGE = '<html><head><title>T x</title><style>p{a}</style><script>var t="</p>words words words";</script></head><body><nav><ul><li><a href="/a">Home</a></li><li><a>More</a></li></ul></nav><!-- ad --><div class="ad">Buy this now, it is cheap</div><article><h1>Title</h1><p>Para&nbsp;one\n &amp; two <a href=x>link</a> words.<p><b>Second para<br><aside>see also</aside><p>Last.</p><section class="comments"><p>First! great</p></section></article><form><input></form><footer>&copy; 2020 someone</footer></body></html>'
