@@ -17,8 +17,12 @@ from folioscope.runtime import small_batches
 
 #: Pages that weights are learnt from at most: those with the smallest hash of their id.
 MAX_TRAINING_PAGES = 500
-#: Weights that a model holds at most: of the most frequent kinds of words and tags.
-MAX_WEIGHTS = 5000
+#: Pages that a listed name counts as seen, all outside the content (strong ones and weak ones), and a content element as its own.
+STRONG, WEAK = 20, 1
+#: Weight of a name that no labelled page has, where the element has other names.
+UNSEEN = 1.5
+#: From this weight on a container is the content.
+CONTENT_FROM = 2.0
 
 # Elements by their role in HTML.
 RAW = "script|style|noscript|template|iframe|svg|math|object|canvas|audio|video|textarea|select|button"
@@ -28,10 +32,12 @@ BLOCKS = set(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 CONTAINERS = set("article aside body details dialog div figure footer form head header main menu nav section table title".split())
-_NAMES = r"(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|share|social|comments?|replies|disqus|related|recommended|newsletter|subscribe|signup|login|search|footer|masthead|topbar|toolbar|pagination)"
-BOILERPLATE_NAMES = re.compile(rf"(?:^|[-_\s]){_NAMES}(?:$|[-_\s])", re.IGNORECASE)
-#: A class or id of nothing but such words: `comments`, not `related-work`.
-BOILERPLATE_ONLY = re.compile(rf"(?:^|\s){_NAMES}(?:[-_]+{_NAMES})*(?:$|\s)", re.IGNORECASE)
+#: Names of classes and ids before any page is seen: what labelling takes for no content inside an article, and where weights start from.
+STRONG_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "popup", "modal", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "share", "social", "comment", "comments", "replies", "disqus", "newsletter", "subscribe", "signup", "footer", "masthead", "topbar", "toolbar", "pagination"}
+WEAK_NAMES = {"consent", "notice", "notices", "side", "related", "recommended", "login", "search"}
+#: Names that say nothing.
+PLAIN_NAMES = {"area", "block", "box", "col", "container", "content", "group", "inner", "item", "items", "list", "page", "row", "section", "site", "widget", "widgets", "wrap", "wrapper"}
+_NAME = re.compile(r"[^\W\d_]+")
 
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<raw>{RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>|(?P<text>[^<]+|<)""",
@@ -43,151 +49,203 @@ _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "emb
 
 @dataclass
 class Item:
-    """A tag, or the text between two tags."""
+    """A tag, or the text between two tags, with what a weight can belong to."""
 
-    kind: str  # what the weight belongs to: word or tag, and the container with its class and role
-    backoff: str  # the same without class and role
-    words: int  # 0 for a tag
+    name: str  # of the tag; of a text the link or block that it is in
+    words: int = 0  # 0 for a tag
     text: str = ""
     breaks: bool = False
-    dropped: bool = False  # inside boilerplate that lies within the article
-    labelled: bool = False  # inside an element that names itself the content
+    around: tuple[tuple[str, tuple[str, ...]], ...] = ()  # open containers, outermost first: element and its names
+    named: bool = False  # inside an element that names itself the content
 
 
-@dataclass
-class _Open:
-    name: str
-    kind: str
-    bad: bool
-    good: bool
-    named: bool  # boilerplate by its class or id alone
-    suspended: int = 0  # of a content element: how many of those around it don't count inside it
+def _names(rest: str) -> tuple[str, ...]:
+    """Names in class, id, role and itemprop, each once, without those that say nothing."""
+    if "=" not in rest:
+        return ()
+    marks = " ".join(a["a"] or a["b"] or a["c"] or "" for a in _ATTRIBUTE.finditer(rest)).lower()
+    return tuple(x for x in dict.fromkeys(_NAME.findall(marks)) if x not in PLAIN_NAMES)
 
 
 def items(page: str) -> list[Item]:
     """The page as a row of tags and texts; scripts, styles and markup comments are left out."""
     out: list[Item] = []
-    stack: list[_Open] = []
-    bad = good = named = 0  # open boilerplate and content elements; those of the boilerplate that are judged by class or id alone
-
-    def pop_to(k: int) -> None:
-        nonlocal bad, good, named
-        for x in reversed(stack[k:]):
-            bad += x.suspended - x.bad
-            good -= x.good
-            named += x.suspended - x.named
-        del stack[k:]
-
+    stack: list[tuple[str, tuple[str, ...]]] = []
+    kinds: list[str] = []
+    around: tuple = ()
+    named = False
+    block, links = "", 0
     for m in _TOKEN.finditer(page):
         if (text := m["text"]) is not None:
             n = len(html.unescape(text).split())
-            top = stack[-1] if stack else None
-            where, plain = ("content", "content") if good and not bad else (top.kind, top.name) if top else ("none", "none")
-            out.append(Item(f"word in {where}", f"word in {plain}", n, text, False, bad > 0, good > 0))
+            out.append(Item("a" if links else block, n, text, False, around, named))
             continue
         if m["name"] is None:
-            if m["raw"]:
-                out.append(Item(f"tag {m['raw'].lower()}", "tag", 0, "", False, bad > 0, good > 0))  # breaks no block
-            continue
+            continue  # a script, style or comment breaks no block
         name, closing = m["name"].lower(), bool(m["close"])
-        marks = " ".join((a["a"] or a["b"] or a["c"] or "").lower() for a in _ATTRIBUTE.finditer(m["rest"])) if not closing and "=" in m["rest"] else ""
-        kind = name
-        if not closing and name in CONTAINERS and name not in _VOID and not m["rest"].endswith("/"):
-            kind = f"{name}.{marks}" if marks else name
-            is_good = name in CONTENT or "articlebody" in marks
-            # A header within the article holds its title; elsewhere it is the page's.
-            by_role = not is_good and (name in BOILERPLATE or name == "header" and not good)
-            # Within the article a section such as id="related-work" is its own.
-            by_name = not is_good and not by_role and bool(marks and name != "body" and (BOILERPLATE_ONLY if good else BOILERPLATE_NAMES).search(marks))
-            # A wrapper's class says little about the article inside it; an article that is a comment stays in the comments.
-            suspended = named if is_good and not good and not BOILERPLATE_ONLY.search(marks) else 0
-            stack.append(_Open(name, kind, by_role or by_name, is_good, by_name, suspended))
-            bad += by_role + by_name - suspended
-            good += is_good
-            named += by_name - suspended
-        inside = good > 0 and name not in CONTENT
-        where, plain = ("content", "content") if inside and not bad else (stack[-1].kind, stack[-1].name) if stack else ("none", "none")
-        out.append(Item(f"tag {name} in {where}", f"tag {name} in {plain}", 0, "", name in BLOCKS, bad > 0, inside))
+        if name == "a":
+            links = 0 if closing else 1
+        if name in BLOCKS and name != "br":
+            block, links = "" if closing else name, 0
+        if name in CONTAINERS and not closing and not m["rest"].endswith("/"):
+            names = _names(m["rest"]) if name != "body" else ()
+            stack.append((name, names))
+            kinds.append(name)
+            around = tuple(stack)
+            named = named or name in CONTENT or "articlebody" in names
+        out.append(Item(name, 0, "", name in BLOCKS, around, named))
         if closing and name in CONTAINERS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].name == name:
-                    pop_to(k)
+            for k in range(len(kinds) - 1, -1, -1):
+                if kinds[k] == name:
+                    del stack[k:], kinds[k:]
+                    around = tuple(stack)
+                    named = any(x in CONTENT or "articlebody" in names for x, names in stack)
                     break
-                if stack[k].name in CONTENT | {"body"} and name not in CONTENT | {"body"}:
+                if kinds[k] in CONTENT | {"body"} and name not in CONTENT | {"body"}:
                     break  # a stray end tag doesn't close the article
     return out
 
 
+def _odds(inside: float, outside: float) -> float:
+    return math.log((inside + 0.5) / (outside + 0.5))
+
+
+def start_counts() -> dict[str, list[float]]:
+    """(pages inside, pages outside) of each kind before any page is seen."""
+    out = {f"element {x}": [0.0, STRONG] for x in BOILERPLATE} | {f"element {x}": [STRONG, 0.0] for x in CONTENT} | {"name articlebody": [STRONG, 0.0]}
+    out |= {f"name {x}": [0.0, STRONG] for x in STRONG_NAMES} | {f"name {x}": [0.0, WEAK] for x in WEAK_NAMES}
+    return out | {"text p": [2.0, 0.0], "text a": [0.0, 1.0]}
+
+
 @dataclass
 class Model:
-    """Weight of each kind of word and tag. A kind that wasn't seen takes that of its container without class, then the defaults."""
-
-    weights: dict[str, float] = field(default_factory=dict)
-    word: float = 1.0
-    tag: float = -1.0
-
-    def of(self, item: Item) -> float:
-        if item.labelled and item.dropped:
-            return 0.0  # boilerplate within the content is left out later and doesn't part it
-        known = self.weights.get(item.kind, self.weights.get(item.backoff))
-        if item.text:
-            return item.words * (known if known is not None else -self.word if item.dropped else self.word)
-        return self.tag if known is None else known
-
-    def region(self, page: list[Item]) -> tuple[int, int]:
-        """The first of the shortest contiguous runs with the largest sum, by one scan; empty if no sum is above 0."""
-        best, best_sum, start, total = (0, 0), 0.0, 0, 0.0
-        for k, item in enumerate(page):
-            if total <= 0:
-                start, total = k, 0.0
-            total += self.of(item)
-            if total > best_sum:
-                best, best_sum = (start, k + 1), total
-        return best
+    """Log odds of each kind (element, name of a class or id, tag, text of a tag) to lie in the content; kinds that weren't seen have none."""
+
+    weights: dict[str, float] = field(default_factory=lambda: {k: _odds(*x) for k, x in start_counts().items()})
+    containers: dict = field(default_factory=dict, repr=False)
+
+    def container(self, element: str, names: tuple[str, ...], inside: bool) -> float:
+        """Weight of a container: of its names, if it has some that are known, and of its element. A header within the content holds its title."""
+        known = [self.weights.get(f"name {x}") for x in names]
+        own = 0.0
+        if any(x is not None for x in known):
+            own = sum(max(-3.7, min(3.7, UNSEEN if x is None else x)) for x in known) / len(known)
+        if element == "header" and not inside:
+            return -3.0
+        plain = self.weights.get(f"element {element}", 0.0)
+        # Only what is a role in itself counts beside names: a div is what its names say.
+        if abs(plain) < CONTENT_FROM or element not in CONTENT | BOILERPLATE and names:
+            return own
+        return plain + min(0.0, own) if plain > 0 else min(plain, own)
+
+    def standing(self, around: tuple) -> tuple[float, bool]:
+        """(least weight of the containers from the innermost content outwards-in, whether there is a content) of a text's containers."""
+        known = self.containers.get(around)
+        if known is None:
+            if not around:
+                return 0.0, False
+            least, inside = self.standing(around[:-1])
+            value = self.container(*around[-1], inside)
+            # The names of a wrapper say little about the article inside it; a menu or a footer has none.
+            if value >= CONTENT_FROM and (inside or not any(x in BOILERPLATE for x, _ in around)):
+                known = (least, True) if inside else (0.0, True)
+            else:
+                known = (min(least, value), inside)
+            if len(self.containers) > 100_000:
+                self.containers.clear()
+            self.containers[around] = known
+        return known
+
+    def scores(self, page: list[Item]) -> tuple[list[float], list[bool]]:
+        """(score, whether it is left out by itself) of each item. Words of content are 1 each, others 0 to -1; a tag is below 0.
+
+        Where the page has a content container, words outside it count against a run. Elsewhere a word counts by
+        the tag that it is in. What is no content inside the content counts 0: it is left out and doesn't part it.
+        """
+        where = [self.standing(x.around) for x in page]
+        has = any(inside and least >= 0 and x.words for x, (least, inside) in zip(page, where, strict=True))
+        scores, out = [], []
+        for x, (least, inside) in zip(page, where, strict=True):
+            dropped = least < 0
+            if not x.text:
+                value = 0.0 if inside else max(-1.0, min(-0.01, self.weights.get(f"tag {x.name}", -0.1)))
+            elif inside:
+                value = 0.0 if dropped else x.words
+            elif dropped or has:
+                value = -x.words
+            else:
+                value = x.words * max(-1.0, min(1.0, self.weights.get(f"text {x.name}", 0.3)))
+            scores.append(value)
+            out.append(dropped)
+        return scores, out
 
     def extract(self, page: str) -> str:
-        """The blocks of the best region, joined by a line end; boilerplate inside it is left out."""
+        """The blocks of the best region, joined by a line end; elements inside it whose weight is below 0 are left out."""
         parts = items(page)
-        begin, end = self.region(parts)
+        scores, dropped = self.scores(parts)
+        begin, end = region(scores)
         blocks, now = [], []
-        for item in parts[begin:end]:
+        for k in range(begin, end):
+            item = parts[k]
             if item.breaks:
                 blocks.append(now)
                 now = []
-            elif item.text and not item.dropped:
+            elif item.text and not dropped[k]:
                 now.append(item.text)
         blocks.append(now)
         lines = (" ".join(html.unescape("".join(x)).split()) for x in blocks)
         return "\n".join(x for x in lines if x)
 
 
+def region(scores: list[float]) -> tuple[int, int]:
+    """The first of the shortest contiguous runs with the largest sum, by one scan; empty if no sum is above 0."""
+    best, best_sum, start, total = (0, 0), 0.0, 0, 0.0
+    for k, value in enumerate(scores):
+        if total <= 0:
+            start, total = k, 0.0
+        total += value
+        if total > best_sum:
+            best, best_sum = (start, k + 1), total
+    return best
+
+
 def counts(page: str) -> Counter:
-    """(kind, inside the content or not) of a page that labels its content itself; nothing of any other page."""
+    """(kind, inside the content or not) of a page that labels its content itself, once a page; nothing of any other page.
+
+    Inside the content an element counts as outside if all its names are listed ones.
+    """
     parts = items(page)
-    out: Counter = Counter()
-    if any(x.labelled for x in parts):
+    out: set[tuple[str, bool]] = set()
+    if any(x.named for x in parts):
+        listed = STRONG_NAMES | WEAK_NAMES
         for x in parts:
-            if x.words or not x.text:
-                own = x.labelled and not x.dropped
-                out[x.kind, own] += max(1, x.words)
-    return out
+            own = x.named and not any(e in BOILERPLATE or names and listed.issuperset(names) for e, names in x.around)
+            if not x.text:
+                out.add((f"tag {x.name}", own))
+            elif x.words:
+                # The innermost container answers for the text: its names, or else its element.
+                element, names = x.around[-1] if x.around else ("", ())
+                out |= {(f"name {y}", own) for y in names} if names else {(f"element {element}", own)} if element else set()
+                if not names or x.name != element:
+                    out.add((f"text {x.name}", own))
+    return Counter(out)
 
 
 def weighted(found: dict[str, tuple[int, int]]) -> Model:
-    """Log odds of each kind's occurrences inside and outside the content; a tag's are kept below zero, as only words may carry a region."""
-    weights = {}
+    """Log odds of the pages that have a kind inside and outside the content, added to what is known before."""
+    total = start_counts()
     for kind, (inside, outside) in found.items():
-        odds = math.log((inside + 0.5) / (outside + 0.5))
-        weights[kind] = odds if kind.startswith("word ") else min(odds, -0.01) if odds < 0 else -0.01
-    words = [x for k, x in found.items() if k.startswith("word ")]
-    inside, outside = sum(i for i, _ in words), sum(o for _, o in words)
-    return Model(weights, max(0.1, math.log((inside + 0.5) / (outside + 0.5))) if words else 1.0)
+        now = total.setdefault(kind, [0.0, 0.0])
+        now[0] += inside
+        now[1] += outside
+    return Model({k: _odds(*x) for k, x in total.items()})
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = MAX_TRAINING_PAGES) -> Model:
     """Learn from at most max_pages pages which mark their content by an article, a main element or itemprop=articleBody.
 
-    The sample has the smallest hashes of the ids. Without a labelled page the defaults hold.
+    The sample has the smallest hashes of the ids; of rows with one id all count. Null ids aren't learnt from. Without a
+    labelled page the start counts hold. The kinds of the sample's pages, each with two numbers, come to the driver.
     """
     small_batches(pages.sparkSession)
     # max_pages rows of one number.
@@ -204,12 +262,14 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max
 
     summed = rows.mapInArrow(run, "kind string, inside boolean, n long").groupBy("kind")
     by = summed.agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("o"))
-    top = by.orderBy(F.desc(F.col("i") + F.col("o")), "kind").limit(MAX_WEIGHTS).collect()
-    return weighted({x["kind"]: (x["i"], x["o"]) for x in top})
+    return weighted({x["kind"]: (x["i"], x["o"]) for x in by.collect()})
 
 
 def extract(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every page; null and empty pages have the empty text."""
+    """(page_id, url, text, n_chars) of every page; null and empty pages have the empty text.
+
+    Rows are judged each by itself: repeated and null ids stay rows. Other columns are ignored.
+    """
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
