@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.runtime import drop, written
+from folioscope.runtime import drop, settled, written
 
 #: Characters of a block.
 BLOCK = 16384
@@ -23,7 +23,8 @@ def _blocks(text: Column, size: int) -> Column:
 
 
 def _digest(block: Column) -> list[Column]:
-    return [F.xxhash64(block).alias("h1"), F.xxhash64(block, F.lit(7)).alias("h2")]
+    # A second column is hashed with the first's hash as its seed, so the salt stands first: the two hashes are independent.
+    return [F.xxhash64(block).alias("h1"), F.xxhash64(F.lit(7), block).alias("h2")]
 
 
 def _named(keys: DataFrame, *by: str) -> DataFrame:
@@ -40,25 +41,24 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one; if two did, rows would be joined on the blocks themselves. So names never collide.
     """
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text"))
-    marked = written(
-        rows.select(
-            "id",
-            F.sha2("text", 256).alias("text_sha256"),
-            F.transform(_blocks(F.col("text"), size), lambda b: F.struct(*_digest(b))).alias("digests"),
-        ).withColumn("row", F.monotonically_increasing_id()),
-        "blocks",
-    )
+    marked = _marked(rows.withColumn("row", F.monotonically_increasing_id()), size)
     # Equal blocks meet on the map side first, so that a block of many rows is sent once per task.
     content = rows.select(F.explode(_blocks(F.col("text"), size)).alias("block")).groupBy("block").agg(F.lit(1).alias("one"))
     counted = content.select(*_digest(F.col("block"))).groupBy("h1", "h2").agg(F.count("*").alias("sharing"))
     names = written(_named(counted, "h1", "h2"), "names")
-    flat = marked.select("row", F.size("digests").alias("n_blocks"), F.posexplode("digests").alias("at", "d"))
     if names.filter("sharing > 1").isEmpty():
-        level = flat.select("row", "n_blocks", "at", "d.h1", "d.h2").join(names, ["h1", "h2"]).select("row", "n_blocks", "at", "name")
+        flat = marked.select("row", F.size("digests").alias("n_blocks"), F.posexplode("digests").alias("at", "d"))
+        level = settled(flat.select("row", "n_blocks", "at", "d.h1", "d.h2").join(names, ["h1", "h2"]).select("row", "n_blocks", "at", "name"), "level", names)
     else:
-        level = _named_by_content(docs, id_col, text_col, size)
+        # Numbered once more and written with the texts, so that both tables know a row by one number.
+        drop(marked)
+        drop(names)
+        texts = written(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
+        marked = _marked(texts, size)
+        level = _named_by_content(texts, size)
+        drop(texts)
     done = None
-    level = written(level, "level")
+    levels = [level]
     while True:
         single = level.filter("n_blocks = 1 or at = -1").select("row", "name")
         done = single if done is None else done.union(single)
@@ -66,7 +66,13 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if rest.isEmpty():
             break
         level = written(_paired(rest), "level")
-    return marked.select("row", "id", "text_sha256", F.size("digests").alias("n_blocks")).join(done, "row")
+        levels.append(level)
+    return settled(marked.select("row", "id", "text_sha256", F.size("digests").alias("n_blocks")).join(done, "row"), "identities", marked, *levels)
+
+
+def _marked(rows: DataFrame, size: int) -> DataFrame:
+    digests = F.transform(_blocks(F.col("text"), size), lambda b: F.struct(*_digest(b))).alias("digests")
+    return written(rows.select("id", F.sha2("text", 256).alias("text_sha256"), digests, "row"), "blocks")
 
 
 def _paired(level: DataFrame) -> DataFrame:
@@ -88,13 +94,12 @@ def _by_row():
     return Window.partitionBy("row")
 
 
-def _named_by_content(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """The first level where two distinct blocks share a digest: rows join names on the blocks themselves."""
-    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    blocks = rows.select("row", _blocks(F.col("text"), size).alias("blocks"))
+def _named_by_content(texts: DataFrame, size: int) -> DataFrame:
+    """The first level where two distinct blocks share a digest: rows of (row, text) join names on the blocks themselves."""
+    blocks = texts.select("row", _blocks(F.col("text"), size).alias("blocks"))
     flat = blocks.select("row", F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("at", "block"))
     names = written(_named(flat.select("block").distinct(), "block"), "names")
-    return flat.join(names, "block").select("row", "n_blocks", "at", "name")
+    return settled(flat.join(names, "block").select("row", "n_blocks", "at", "name"), "level", names)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:
@@ -103,7 +108,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null counts as the empty text. Of equal texts the smallest id stays; a null id is larger
     than any. Of repeated rows with that id, one stays. `group_size` counts rows. Extra columns are ignored.
     """
-    named = written(identities(docs, id_col, text_col, size), "identities")
+    named = identities(docs, id_col, text_col, size)
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row")))
     # Written before the join, so that its two sides are plain shuffles and a group with many rows can be split.
     groups = written(named.groupBy("n_blocks", "name").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
