@@ -7,14 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.words import mix, word_hashes
-from folioscope.runtime import small_batches
+from folioscope.runtime import drop, small_batches, written
 
 #: Labelled rows that a model is fitted on at most: those with the smallest hash of their id.
 MAX_TRAINING_ROWS = 8000
+#: Bytes of distinct features, 8 each, that come to the driver at most; then the rows with the next hashes are left out.
+MAX_TRAINING_BYTES = 128 << 20
 #: The model has 2 ** BITS weights.
 BITS = 20
 _BIGRAM = np.uint64(0xA24BAED4963EE407)
@@ -48,14 +50,16 @@ class Model:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         bits = int(len(self.weights)).bit_length() - 1
         numbers, bounds = features(texts, bits)
-        sums = np.concatenate([[0.0], np.cumsum(self.weights[numbers], dtype=np.float64)])
         sizes = np.diff(bounds)
-        z = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.sqrt(np.maximum(sizes, 1)) + self.bias
+        sums = np.zeros(len(texts))
+        if len(numbers):  # each text's own sum, whatever the batch
+            sums[sizes > 0] = np.add.reduceat(self.weights[numbers].astype(np.float64), bounds[:-1][sizes > 0])
+        z = sums / np.sqrt(np.maximum(sizes, 1)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
 def fit(rows: list[tuple[bytes, int]], bits: int = BITS, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> Model:
-    """Fit on feature numbers (32-bit integers as bytes) and labels 0 or 1, in the order given; no rows give score 0.5 everywhere."""
+    """Fit on distinct feature numbers followed by their counts (32-bit integers as bytes) and labels 0 or 1, in the order given; no rows give score 0.5 everywhere."""
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)  # the last is the bias
 
@@ -66,9 +70,8 @@ def fit(rows: list[tuple[bytes, int]], bits: int = BITS, epochs: int = 3, alpha:
 
     cases = []
     for numbers, label in rows:
-        own = np.frombuffer(numbers, "<i4")
-        k, c = np.unique(own, return_counts=True)
-        cases.append((np.append(k, size), np.append(c / np.sqrt(max(1, len(own))), 1.0), label))
+        k, c = np.frombuffer(numbers, "<i4").reshape(2, -1)
+        cases.append((np.append(k, size), np.append(c / np.sqrt(max(1, c.sum())), 1.0), label))
     for _ in range(epochs):
         for k, x, label in cases:
             w = weight(k)
@@ -90,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
 
     The sample is the rows with the smallest hash of their id, so it is the same in every
     run; its feature numbers, not its texts, come to the driver. Null labels, and labelled
-    ids without a document, are left out.
+    ids without a document, are left out; an id with several labels or texts gives a case for each pair.
     """
     small_batches(docs.sparkSession)
     chosen = labels.filter(usable & F.col(label_col).isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("label"))
@@ -100,17 +103,23 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers, bounds = features(_texts(batch.column("text")), bits)
-            own = [numbers[a:b].astype("<i4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            # A text's distinct features and how often it has them: no more than its words, and no more than the weights.
+            own = [b"".join(x.astype("<i4").tobytes() for x in np.unique(numbers[a:b], return_counts=True)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(own, pa.binary())], names=["doc_id", "label", "numbers"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     cases = rows.mapInArrow(run, "doc_id long, label int, numbers binary")
-    found = sorted(((x.doc_id * 0x9E3779B97F4A7C15 & (1 << 64) - 1, x.doc_id, x.label, bytes(x.numbers)) for x in cases.toLocalIterator()))
-    return fit([(x[3], x[2]) for x in found], bits)
+    ranked = cases.withColumn("__h", F.xxhash64("doc_id")).select("__h", "doc_id", "label", F.xxhash64("numbers").alias("__n"), "numbers")
+    held = written(ranked, "features")
+    so_far = F.sum(F.octet_length("numbers")).over(Window.orderBy("__h", "doc_id", "label", "__n"))  # max_rows rows
+    found = held.select("*", so_far.alias("__bytes")).filter(F.col("__bytes") <= MAX_TRAINING_BYTES).collect()
+    drop(held)
+    order = sorted(found, key=lambda x: (x.doc_id * 0x9E3779B97F4A7C15 & (1 << 64) - 1, x.doc_id, x.label, x.numbers))
+    return fit([(bytes(x.numbers), x.label) for x in order], bits)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every whole text; null counts as empty, and an empty text gets the bias alone."""
+    """(doc_id, score) of every whole text; null counts as empty, and an empty text gets the bias alone. Repeated and null ids stay rows; other columns are ignored."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # 2 ** bits weights of 4 bytes, whatever the input
