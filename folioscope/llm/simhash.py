@@ -17,6 +17,8 @@ from folioscope.runtime import small_batches, written
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Shingles whose bits are counted at once.
 _CHUNK = 1 << 16
+#: Fingerprints of a task that emits their variants, about.
+SPREAD_ROWS = 20_000
 
 
 def text_fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -66,7 +68,9 @@ def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     if radius != 2:
         raise ValueError("half the radius is one bit here: radius must be 2")
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long") for i in range(64)])
-    variants = distinct.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
+    # The rows grow 65-fold next: a table of few files would do that in few tasks.
+    spread = distinct.repartition(min(1 << 16, -(-distinct.count() // SPREAD_ROWS) or 1), "fp")
+    variants = spread.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
     # A group holds 65 rows at most, whatever the input.
     members = variants.groupBy("variant").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     stars = members.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).filter(F.col("a") != F.col("b"))
