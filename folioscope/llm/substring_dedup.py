@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.words import interned, mix, word_digests
+from folioscope.llm.words import mix, paired_hashes
 from folioscope.runtime import small_batches
 
 #: Words of a window.
 WINDOW = 13
 #: Bytes of text of a block, and window hashes of a bucket, about.
-BLOCK_BYTES, BUCKET_ENTRIES = 8 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_ENTRIES = 6 << 20, 1 << 20
 #: Ranges of ids that blocks are dealt over at most; beyond, blocks share a range and entries carry ids.
 MAX_RANGES = 1 << 16
 #: Partitions that blocks or buckets are dealt over at most; beyond, a task takes several, one after another.
@@ -146,7 +146,7 @@ def _firsts(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray | None = None
 
 
 class _Block:
-    """The documents of a block in order of id, with their words as numbers and their windows."""
+    """The documents of a block in order of id, with the hashes of their windows."""
 
     def __init__(self, table: pa.Table):
         names = [_NO_ID if x is None else x for x in table.column("id").to_pylist()]
@@ -155,9 +155,8 @@ class _Block:
         self.names = table.column("id").to_pylist()
         self.ids = np.array([_NO_ID if x is None else x for x in self.names], np.int64)
         self.texts = [(x or "").encode() for x in table.column("text").to_pylist()]
-        self.words, self.bounds, self.number = interned(self.texts)
-        one, two = word_digests(self.number)
-        self.at, self.keys, self.checks = window_hashes(one[self.words], two[self.words], self.bounds)
+        one, two, self.bounds = paired_hashes(self.texts)
+        self.at, self.keys, self.checks = window_hashes(one, two, self.bounds)
         self.doc = np.searchsorted(self.bounds, self.at, side="right") - 1 if len(self.at) else self.at
 
 
@@ -274,10 +273,13 @@ def witnesses(rows: DataFrame, hits: DataFrame) -> DataFrame:
             to = np.concatenate([_unplanes(r["blocks"], 5, r["n"]).view(np.int64) for r in found])
             order, new = _firsts(keys, checks)
             head = order[new]
-            which = _find(keys[head], checks[head], block.keys, block.checks)
-            mine = np.flatnonzero(which >= 0)[::-1]
+            asked_for = np.zeros(1 << 22, bool)  # a first look by the upper bits
+            asked_for[keys >> np.uint64(42)] = True
+            mine = np.flatnonzero(asked_for[block.keys >> np.uint64(42)])
+            which = _find(keys[head], checks[head], block.keys[mine], block.checks[mine])
+            mine, which = mine[which >= 0][::-1], which[which >= 0][::-1]
             place = np.full(len(head), -1, np.int64)
-            place[which[mine]] = mine  # the block's first window of each key: assigned last
+            place[which] = mine  # the block's first window of each key: assigned last
             window = np.empty(len(keys), np.int64)
             window[order] = place[np.cumsum(new) - 1]
             to, window = to[window >= 0], window[window >= 0]
@@ -285,10 +287,14 @@ def witnesses(rows: DataFrame, hits: DataFrame) -> DataFrame:
             to, window = to[order], window[order]
             at = block.at[window]
             cuts = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (at[1:] - at[:-1] >= WINDOW), [True]))) if len(at) else np.zeros(0, np.int64)
-            words = list(block.number)
+            split: dict[int, list[bytes]] = {}
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                text = b" ".join([words[k] for k in block.words[at[a] : at[b - 1] + WINDOW].tolist()])
-                out.append((int(to[a]), int(block.ids[block.doc[window[a]]]), text, None, None, None, None))
+                doc = int(block.doc[window[a]])
+                if doc not in split:
+                    split[doc] = block.texts[doc].split()
+                begin = int(block.bounds[doc])
+                text = b" ".join(split[doc][at[a] - begin : at[b - 1] - begin + WINDOW])
+                out.append((int(to[a]), int(block.ids[doc]), text, None, None, None, None))
         columns = list(zip(*out, strict=True)) if out else [()] * 7
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "id", "text", "n", "gaps", "low", "check"), columns, kinds, strict=True)})
@@ -312,23 +318,68 @@ def compacted(runs: DataFrame) -> DataFrame:
     return runs.groupBy("bucket").applyInArrow(merge, RUN)
 
 
+class _Told:
+    """Windows of the stretches of words that earlier documents have, by (key, check, id)."""
+
+    def __init__(self, told: list[dict]):
+        self.texts = [r["text"] for r in told]
+        one, two, self.bounds = paired_hashes(self.texts)
+        at, keys, checks = window_hashes(one, two, self.bounds)
+        ids = np.array([r["id"] for r in told], np.int64)[np.searchsorted(self.bounds, at, side="right") - 1] if len(at) else np.zeros(0, np.int64)
+        order = np.lexsort((ids, checks, keys))
+        self.at, self.keys, self.checks, self.ids = at[order], keys[order], checks[order], ids[order]
+
+
 def _removal(block: _Block, told: list[dict]) -> np.ndarray:
-    """Per word of the block: is it covered by a window whose words an earlier document has?"""
+    """Per word of the block: is it covered by a window whose words an earlier document has?
+
+    Windows with one hash are candidates, inside the block and with what other blocks told. Their words get
+    numbers, equal exactly for equal bytes, and a window goes only if all 13 numbers agree.
+    """
     removed = np.zeros(int(block.bounds[-1]) + 1, np.int32)
     if len(block.at) == 0:
         return removed[:-1] > 0
     order, new = _firsts(block.keys, block.checks)
     group, first = np.cumsum(new) - 1, np.flatnonzero(new)
     at, ids = block.at[order], block.ids[block.doc[order]]
-    dup = ids > ids[first][group]
-    # Windows with one hash are compared word by word; should two differ, their group is told apart by the words.
-    differ = ~_same_words(block.words, at, block.words, at[first][group])
-    for g in np.unique(group[differ]):
+    more = np.flatnonzero(~new)
+    theirs = _Told([r for r in told if r["text"] is not None])
+    place = _find(theirs.keys, theirs.checks, block.keys[order], block.checks[order])
+    left = np.flatnonzero(place >= 0)
+
+    number: dict[bytes, int] = {}
+    numbers = np.full(len(removed) - 1, -1, np.int32)
+    covered = np.zeros(len(removed), np.int32)
+    for used in (at[more], at[first[group[more]]], at[left]):
+        np.add.at(covered, used, 1)
+        np.add.at(covered, used + WINDOW, -1)
+    covered = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
+    for doc in np.unique(np.searchsorted(block.bounds, covered, side="right") - 1).tolist():
+        begin, end = block.bounds[doc], block.bounds[doc + 1]
+        own, words = covered[np.searchsorted(covered, begin) : np.searchsorted(covered, end)], block.texts[doc].split()
+        numbers[own] = [number.setdefault(words[k], len(number)) for k in (own - begin).tolist()]
+    their_numbers = np.array([number.setdefault(x, len(number)) for text in theirs.texts for x in text.split()], np.int32)
+
+    dup = np.zeros(len(at), bool)
+    dup[more] = ids[more] > ids[first[group[more]]]
+    differ = more[~_same_words(numbers, at[more], numbers, at[first[group[more]]])]
+    for g in np.unique(group[differ]):  # two texts with one hash: told apart by their words
         least: dict[tuple, int] = {}
         for m in np.flatnonzero(group == g):
-            dup[m] = ids[m] > least.setdefault(tuple(block.words[at[m] : at[m] + WINDOW].tolist()), ids[m])
-    if texts := [(r["id"], r["text"]) for r in told if r["text"] is not None]:
-        _compare(block, order, at, ids, dup, texts)
+            dup[m] = ids[m] > least.setdefault(tuple(numbers[at[m] : at[m] + WINDOW].tolist()), ids[m])
+
+    fresh = np.ones(len(theirs.at), bool)
+    fresh[1:] = (theirs.keys[1:] != theirs.keys[:-1]) | (theirs.checks[1:] != theirs.checks[:-1]) | ~_same_words(their_numbers, theirs.at[1:], their_numbers, theirs.at[:-1])
+    place = (np.cumsum(fresh) - 1)[place[left]]
+    keys, checks, their_at, their_ids = theirs.keys[fresh], theirs.checks[fresh], theirs.at[fresh], theirs.ids[fresh]
+    while len(left):
+        hit = _same_words(numbers, at[left], their_numbers, their_at[place]) & (their_ids[place] < ids[left])
+        dup[left[hit]] = True
+        # Another text may have the same hash with the right words: it lies next.
+        after = np.minimum(place + 1, len(keys) - 1)
+        go = ~hit & (after > place) & (keys[after] == keys[place]) & (checks[after] == checks[place])
+        left, place = left[go], after[go]
+
     history = RunIndex()
     history.runs = [(unpack_sorted(r["gaps"], r["low"], r["n"]), np.frombuffer(r["check"], np.uint16), np.zeros(r["n"], np.int64)) for r in told if r["text"] is None]
     if history.runs:
@@ -343,34 +394,6 @@ def _removal(block: _Block, told: list[dict]) -> np.ndarray:
     return np.cumsum(removed[:-1]) > 0
 
 
-def _compare(block: _Block, order: np.ndarray, at: np.ndarray, ids: np.ndarray, dup: np.ndarray, texts: list[tuple[int, bytes]]) -> None:
-    """Mark in `dup` the windows (in `order`) whose words one of the texts of earlier documents has."""
-    words: list[int] = []
-    bounds = [0]
-    for _, text in texts:
-        words += [block.number.setdefault(x, len(block.number)) for x in text.split()]
-        bounds.append(len(words))
-    numbers = np.array(words, np.int64)
-    one, two = word_digests(block.number)
-    their_at, keys, checks = window_hashes(one[numbers], two[numbers], np.array(bounds))
-    their_id = np.array([x for x, _ in texts], np.int64)[np.searchsorted(bounds, their_at, side="right") - 1]
-    by = np.lexsort((their_id, checks, keys))
-    keys, checks, their_at, their_id = keys[by], checks[by], their_at[by], their_id[by]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1]) | ~_same_words(numbers, their_at[1:], numbers, their_at[:-1])
-    keys, checks, their_at, their_id = keys[fresh], checks[fresh], their_at[fresh], their_id[fresh]
-    left = np.flatnonzero(~dup)
-    place = _find(keys, checks, block.keys[order][left], block.checks[order][left])
-    left, place = left[place >= 0], place[place >= 0]
-    while len(left):
-        hit = _same_words(block.words, at[left], numbers, their_at[place]) & (their_id[place] < ids[left])
-        dup[left[hit]] = True
-        # Another text may have the same hash with the right words: it lies next.
-        after = np.minimum(place + 1, len(keys) - 1)
-        go = ~hit & (after > place) & (keys[after] == keys[place]) & (checks[after] == checks[place])
-        left, place = left[go], after[go]
-
-
 def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int, int]:
     """(rows with turn, block, id, text; bits of a bucket number; bytes of an id in an entry; number of blocks).
 

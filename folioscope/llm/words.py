@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
 
 import numpy as np
 
@@ -11,11 +10,14 @@ import numpy as np
 SLICE = 1 << 20
 #: Words longer than this are hashed by BLAKE2 wherever they stand.
 LONG_WORD = 4096
+#: Places in a word that have a table of random numbers each.
+PLACES = 64
 _P = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _tables: list[np.ndarray] = []
+_places: list[np.ndarray] = []
 #: Classes of bytes for shapes: white space 0, lower case and bytes of other letters 1, upper case 2, digits 3, any other its own.
 _CLASS = np.arange(256, dtype=np.int64)
 _CLASS[_SPACE] = 0
@@ -43,6 +45,14 @@ def _powers() -> list[np.ndarray]:
     return _tables
 
 
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least `size` powers of the base and of its inverse."""
+    _, up, down = _powers()
+    if size <= len(up):
+        return up, down
+    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)])) for x in (_P, pow(_P, -1, 1 << 64)))
+
+
 def _shapes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A number for each word's changes of class, from byte to byte: alike for words that look alike."""
     kind = _CLASS[raw]
@@ -125,19 +135,43 @@ def word_hashes(texts: list[bytes], shapes: bool = False) -> tuple[np.ndarray, .
     return (np.concatenate(hashes), np.concatenate(looks), bounds) if shapes else (np.concatenate(hashes), bounds)
 
 
-def interned(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
-    """(number of every word in order, bounds, number of each distinct word): two words have one number exactly if their bytes are equal."""
-    words: list[bytes] = []
+def _random_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Two tables of a random number for each byte at each place in a word."""
+    if not _places:
+        for seed in (1, 2):
+            _places.append(mix(mix(np.arange(PLACES * 256, dtype=np.uint64) + np.uint64(seed << 32)) ^ np.uint64(0xA0761D6478BD642F)))
+    return _places[0], _places[1]
+
+
+def paired_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first hashes, second hashes, bounds) of all words in order, where words of texts[i] are [bounds[i]:bounds[i + 1]].
+
+    Each hash is tabulated: the sum of a random number for each byte at its place, so no rule
+    in the words makes them collide, and the two are independent. Words above PLACES bytes get the halves of their BLAKE2 digest.
+    """
+    one: list[np.ndarray] = [np.zeros(0, np.uint64)]
+    two: list[np.ndarray] = [np.zeros(0, np.uint64)]
     counts = np.zeros(len(texts) + 1, np.int64)
-    for k, text in enumerate(texts):
-        own = text.split()
-        counts[k + 1] = len(own)
-        words += own
-    number = {x: k for k, x in enumerate(dict.fromkeys(words))}
-    return np.fromiter(map(number.__getitem__, words), np.int64, len(words)), np.cumsum(counts), number
-
-
-def word_digests(words: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each word: the halves of its BLAKE2 digest, which no rule in the words makes collide."""
-    halves = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in words]), "<u8").reshape(-1, 2)
-    return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+    k = 0
+    while k < len(texts):
+        size, j = 0, k
+        while j < len(texts) and (j == k or size + len(texts[j]) < SLICE):
+            size += len(texts[j]) + 1
+            j += 1
+        data = b" ".join(texts[k:j])
+        raw = np.frombuffer(data, np.uint8)
+        black = ~_SPACE[raw]
+        edge = np.flatnonzero(np.diff(black, prepend=False, append=False))
+        starts, sizes = edge[::2], edge[1::2] - edge[::2]
+        counts[k + 1 : j + 1] = np.diff(np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in texts[k:j]])))
+        if len(starts):
+            first = np.cumsum(sizes) - sizes
+            place = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
+            cell = np.minimum(place, PLACES - 1) * 256 + raw[black]
+            for table, out in zip(_random_tables(), (one, two), strict=True):
+                out.append(mix(np.add.reduceat(table[cell], first) + sizes.astype(np.uint64)))
+            for w in np.flatnonzero(sizes > PLACES):
+                digest = hashlib.blake2b(data[starts[w] : starts[w] + sizes[w]], digest_size=16).digest()
+                one[-1][w], two[-1][w] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
+        k = j
+    return np.concatenate(one), np.concatenate(two), np.cumsum(counts)
