@@ -11,13 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.quality import fold
-from folioscope.llm.words import SLICE, _powers, mix
-from folioscope.runtime import small_batches
+from folioscope.llm.words import SLICE, mix, powers
+from folioscope.runtime import drop, small_batches, written
 
-#: Documents of each language that a model is fitted on, about: those whose id hashes low.
-MAX_TRAINING_ROWS = 1500
-#: Words, and n-grams of each length, that a model holds: the most frequent.
-MAX_WORDS, MAX_GRAMS = 60_000, 30_000
+#: Documents of each language, and of all together, that a model is fitted on, about: those whose id hashes low. It holds every word and n-gram of them.
+MAX_TRAINING_ROWS, MAX_ROWS_TOGETHER = 1500, 20_000
 #: Longest n-gram for a word that isn't known.
 ORDER = 4
 #: Share of a text's letters that words of its language must make up, for the text to be in it.
@@ -35,7 +33,7 @@ def _is_letter() -> np.ndarray:
 
 
 def _pieces(text: str) -> list[str]:
-    """The lower-case text in pieces of at most SLICE characters, cut at white space where there is some."""
+    """The lower-case text in pieces of about SLICE characters, cut at white space, so a longer word stays whole."""
     text = text.lower()
     if len(text) < SLICE:
         return [text]
@@ -44,7 +42,9 @@ def _pieces(text: str) -> list[str]:
         end = min(len(text), at + SLICE - 1)
         if end < len(text):
             cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
-            end = cut + 1 if cut > at else end
+            if cut <= at:  # the word goes on: up to the next white space
+                cut = min((x for x in (text.find(" ", end), text.find("\n", end)) if x >= 0), default=len(text) - 1)
+            end = cut + 1
         out.append(text[at:end])
         at = end
     return out
@@ -60,7 +60,7 @@ class _Words:
         self.starts, ends = edge[::2], edge[1::2]
         self.sizes = ends - self.starts
         self.codes = mix(codes.astype(np.uint64) + np.uint64(1))
-        _, up, down = _powers()
+        up, down = powers(max(map(len, pieces), default=0) + 1)
         at = np.cumsum([0] + [len(x) + 1 for x in pieces])
         self.bounds = np.searchsorted(self.starts, at)
         if len(self.starts):
@@ -123,13 +123,12 @@ class Model:
                 counts = np.bincount(owner[seen], minlength=len(left))
                 found = counts > 0
                 for j in range(len(self.languages)):
-                    sums = np.bincount(owner[seen], self.logs[order][place[seen], j], len(left))
+                    sums = np.bincount(owner[seen], self.logs[order][place[seen], j].astype(np.float64), len(left))
                     scores[1 + left[found], j] = sums[found] / counts[found]
                 left = left[~found]
-            total = np.cumsum(scores, axis=0)
             for k, (i, _) in enumerate(flat[at:end]):
                 a, b = words.bounds[k], words.bounds[k + 1]
-                out[i] += total[b] - total[a]
+                out[i] += scores[1 + a : 1 + b].sum(axis=0)  # of the piece alone, whatever the batch
                 has[i] |= b > a
             at = end
         return out, has
@@ -174,7 +173,8 @@ def train(docs: DataFrame, usable: Column, lang_col: str = "lang", text_col: str
 
     A row is taken if the hash of its id falls below its language's rate, so a language
     with most of the rows costs no more than another, and no row moves. Counts are summed
-    per partition in numpy and then by Spark; the most frequent entries come to the driver.
+    per partition in numpy and then by Spark; all entries of these rows come to the driver, which max_rows and
+    MAX_ROWS_TOGETHER bound. Repeated rows count each time; a null id hashes as the empty text.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -184,7 +184,7 @@ def train(docs: DataFrame, usable: Column, lang_col: str = "lang", text_col: str
     languages = sorted(x["lang"] for x in sizes)
     if not languages:
         return Model([], [np.zeros(0, np.uint64)] * (ORDER + 1), [np.zeros((0, 0))] * (ORDER + 1))
-    rate = F.create_map(*[y for x in sizes for y in (F.lit(x["lang"]), F.lit(min(1.0, max_rows / x["count"])))])
+    rate = F.create_map(*[y for x in sizes for y in (F.lit(x["lang"]), F.lit(min(1.0, min(max_rows, MAX_ROWS_TOGETHER / len(languages)) / x["count"])))])
     drawn = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20)
     number = {x: k for k, x in enumerate(languages)}
 
@@ -206,29 +206,29 @@ def train(docs: DataFrame, usable: Column, lang_col: str = "lang", text_col: str
     counts = rows.filter(drawn).select("lang", "text").mapInArrow(count, "kind int, lang int, key long, n long")
     by_key = counts.groupBy("kind", "key").agg(*[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(languages))], F.sum("n").alias("total"))
     keys, logs, had = [], [], []
-    from folioscope.runtime import drop, written
-
     table = written(by_key, "language-counts")
     sums = {x["kind"]: x for x in table.groupBy("kind").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(languages))]).collect()}
     for kind in range(ORDER + 1):
-        most = MAX_WORDS if kind == 0 else MAX_GRAMS
-        top = table.filter(F.col("kind") == kind).orderBy(F.desc("total"), "key").limit(most).drop("kind", "total").toPandas()
+        top = table.filter(F.col("kind") == kind).drop("kind", "total").toPandas()
         key = top["key"].to_numpy(np.int64).view(np.uint64) if len(top) else np.zeros(0, np.uint64)
         order = np.argsort(key)
         n = top.drop(columns="key").to_numpy(np.float64).reshape(len(key), len(languages))[order]
         total = np.array([sums[kind][f"n{k}"] if kind in sums else 0 for k in range(len(languages))], np.float64)
         keys.append(key[order])
         had.append(n > 0)
-        logs.append(np.log((n + 0.5) / (total + 0.5 * max(1, len(key)))))
+        logs.append(np.log((n + 0.5) / (total + 0.5 * max(1, len(key)))).astype(np.float32))
     drop(table)
     return Model(languages, keys, logs, had)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text; a null or letterless text is `und` with score 0."""
+    """(doc_id, lang_pred, score) of every whole text; a null or letterless text is `und` with score 0.
+
+    Ties go to the language that sorts first. Repeated and null ids stay rows; other columns are ignored.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    # MAX_WORDS + ORDER * MAX_GRAMS rows of a key and a number for each language, whatever the input.
+    # The words and n-grams of the training rows, whose number is bounded, whatever the input.
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
