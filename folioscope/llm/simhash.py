@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.components import connected_components
-from folioscope.runtime import small_batches, written
+from folioscope.llm.words import mix
+from folioscope.runtime import drop, settled, small_batches, written
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Shingles whose bits are counted at once.
 _CHUNK = 1 << 16
+#: Bands of a document, and least values in each: two sets of similarity s share a band with probability 1 - (1 - s ** ROWS) ** BANDS.
+BANDS, ROWS = 20, 6
+_tables: list[np.ndarray] = []
 #: Fingerprints of a task that emits their variants, about.
 SPREAD_ROWS = 20_000
 
@@ -94,13 +98,137 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_fp, "fp").select("id", "fp", "component")
 
 
-def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its near-duplicate component; all columns stay.
+def _shingles(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of every shingle of a text, in order and with repeats; words and shingles are those of text_fingerprint."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    count = max(1, len(words) - size + 1) if words else 0
+    return np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + size]), 42) for k in range(count)], np.uint64)
+
+
+def _signature(values: np.ndarray) -> bytes:
+    """A digest of the set of sorted distinct shingle values: equal for equal sets."""
+    return xxhash.xxh3_128_digest(values.astype("<u8").tobytes())
+
+
+def _bands(values: np.ndarray) -> list[int]:
+    """BANDS numbers, each from the least of ROWS permutations of the values; none for no values."""
+    if len(values) == 0:
+        return []
+    factor, term = _permutations()
+    least = np.full(len(factor), np.uint64((1 << 64) - 1))
+    for k in range(0, len(values), 2048):
+        least = np.minimum(least, (values[k : k + 2048, None] * factor + term).min(axis=0))
+    data = least.astype("<u8").tobytes()
+    return [xxhash.xxh64_intdigest(data[8 * ROWS * j : 8 * ROWS * (j + 1)], j) - (1 << 63) for j in range(BANDS)]
+
+
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    if not _tables:
+        k = np.arange(BANDS * ROWS, dtype=np.uint64)
+        _tables.extend([mix(k + np.uint64(1)) | np.uint64(1), mix(k + np.uint64(1 << 40))])
+    return _tables[0], _tables[1]
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+    """(id, sig, fp, bands) of every row: the digest of its set of shingles, its SimHash, and its band numbers."""
+    small_batches(docs.sparkSession)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs, prints, bands = [], [], []
+            for text in batch.column(1):
+                every = _shingles(text.as_py(), size)
+                ones = np.zeros(64, np.int64)
+                for k in range(0, len(every), _CHUNK):
+                    ones += np.unpackbits(every[k : k + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                prints.append(int(np.packbits(2 * ones > len(every), bitorder="little").view("<i8")[0]))
+                distinct = np.unique(every)
+                sigs.append(_signature(distinct))
+                bands.append(_bands(distinct))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary()), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "sig", "fp", "bands"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(sketch, "id long, sig binary, fp long, bands array<long>")
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes (c, fp, bands) worth a comparison, a < b.
+
+    Two ways lead to a pair: fingerprints within 2 bits, by ball hashing, and a common band. A group of one
+    fingerprint or band gives stars to its smallest and its largest class, not its pairs; a pair has several groups.
+    """
+    keys = classes.select("c", F.explode("bands").alias("key"))
+    ends = keys.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    banded = keys.join(ends, "key").select("c", F.explode(F.array("low", "high")).alias("d"))
+    prints = classes.groupBy("fp").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    alike = classes.join(prints.filter("low < high"), "fp").select("c", F.explode(F.array("low", "high")).alias("d"))
+    links = ball_links(prints.select("fp"))
+    one, two = prints.select(F.col("fp").alias("a"), F.col("low").alias("c")), prints.select(F.col("fp").alias("b"), F.col("low").alias("d"))
+    near = links.join(one, "a").join(two, "b").select("c", "d")
+    every = banded.union(alike).union(near).filter("c <> d")
+    return every.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
+
+
+def similar(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b) of rows (a, b, sig_a, sig_b, text_a, text_b) whose sets of shingles have a Jaccard similarity of at least `similarity`."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("b").to_pylist()
+            kept_b: dict[int, np.ndarray] = {}  # a star's centre is read once a batch
+            good = []
+            for a, b, sig_a, sig_b, text_a, text_b in zip(*(batch.column(n) for n in ("a", "b", "sig_a", "sig_b", "text_a", "text_b")), strict=True):
+                one = np.unique(_shingles(text_a.as_py(), size))
+                number = b.as_py()
+                if number not in kept_b:
+                    kept_b[number] = np.unique(_shingles(text_b.as_py(), size))
+                two = kept_b[number]
+                # A repeated id can bring another text than the class's.
+                right = _signature(one) == sig_a.as_py() and _signature(two) == sig_b.as_py()
+                if not right and _signature(two) != sig_b.as_py():
+                    del kept_b[number]
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(right and both >= similarity * (len(one) + len(two) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(names, pa.int64())], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.mapInArrow(compare, "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component) of every row with an id: component is the smallest id that links of `similarity` or more reach.
+
+    Similarity is that of Jaccard on the sets of `size`-word shingles, and every link is verified on whole texts. At this
+    similarity two fingerprints differ by 10 of 64 bits or more as a rule, and the variants within half of that are too many to
+    emit; so ball hashing finds the pairs within 2 bits, and bands of least values (BANDS of ROWS) find the others:
+    99.8 % of pairs at 0.8 share a band. Rows with one set of shingles, texts without a word among them, are one class before any pair is sought,
+    so a group of copies costs one row. A row with a null id is in no group. An id with several texts is in the
+    groups of all of them, with a row for each. Extra columns are ignored; an empty table gives an empty one.
+    """
+    marked = written(sketches(docs, id_col, text_col, size), "sketches")
+    grouped = marked.filter("id is not null").groupBy("sig").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
+    classes = written(grouped.withColumn("c", F.monotonically_increasing_id()), "classes")
+    pairs = written(candidates(classes), "pairs")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    asked = pairs
+    for end in "ab":
+        own = classes.select(F.col("c").alias(end), F.col("least").alias("id"), F.col("sig").alias(f"sig_{end}"))
+        asked = asked.join(own, end).join(texts.withColumnRenamed("text", f"text_{end}"), "id").drop("id")
+    links = written(similar(asked, size, similarity), "links")
+    drop(pairs)
+    roots = connected_components(links, "a", "b")
+    drop(links)
+    labelled = classes.join(roots, classes["c"] == roots["node"], "left").select("sig", "least", F.coalesce("root", "c").alias("root"))
+    smallest = labelled.groupBy("root").agg(F.min("least").alias("component"))
+    by_sig = labelled.join(smallest, "root").select("sig", "component")
+    return settled(marked.filter("id is not null").join(by_sig, "sig").select("id", "component"), "near", marked, classes)
+
+
+def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs whose id is the smallest of a group of near copies; all columns stay.
 
-    Rows with a null id have no name by which a copy could replace them: they stay. Of rows with one
-    id and the same component, all stay.
+    Rows with a null id have no name by which a copy could replace them: they stay. Repeated rows with such an id all stay.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = near_copies(docs, id_col, text_col, size, similarity)
     first = found.filter(F.col("id") == F.col("component")).select(F.col("id").alias("__keep")).distinct()
     named = docs.join(first, docs[id_col].cast("long") == first["__keep"], "left_semi")
     return named.unionByName(docs.filter(F.col(id_col).isNull()))

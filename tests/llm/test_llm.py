@@ -687,6 +687,47 @@ def test_mixed_rows_and_sql(spark):
 # Pipeline and queries.
 
 
+def _near(rows, size=5, similarity=0.8):
+    """id -> smallest id that links of the similarity reach, by comparing all pairs."""
+    sets = []
+    for _, t in rows:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        sets.append({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set())
+    root = {i: i for i, _ in rows}
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both and both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                old, new = sorted((root[rows[a][0]], root[rows[b][0]]), reverse=True)
+                root = {i: new if x == old else x for i, x in root.items()}
+    return root
+
+
+def test_near_copies_equal_brute_force(spark):
+    """Near copies at many similarities, copies, short and empty texts, clashing columns; null and repeated ids."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(25):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([4, 30, 150, 400]))]
+        for _ in range(rng.choice([1, 2, 5])):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 2, len(base) // 20])):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(own))
+    rows += [None, "", " ", "one", "One"]
+    ids = rng.sample(range(1000), len(rows))
+    docs = _docs(spark, [*rows, "null id", "two", rows[3]], [*ids, None, ids[0], ids[3]])
+    got = Counter((r.id, r.component) for r in simhash.near_copies(docs).collect())
+    least = _near(list(zip(ids, rows, strict=True)))
+    assert got == Counter(least.items()) + Counter([(ids[0], ids[0]), (ids[3], least[ids[3]])])
+    assert any(v != k for k, v in least.items())
+    stay = sorted(str(r.doc_id) for r in simhash.kept(docs).collect())
+    again = [i for i in (ids[0], ids[3]) if i == ids[0] or least[i] == i]
+    first = {i for i in ids if least[i] == i} | {ids[0]}
+    assert stay == sorted([*map(str, first), *map(str, again), "None"])
+    assert simhash.near_copies(docs.limit(0)).count() == 0 and simhash.kept(docs).columns == docs.columns
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -698,14 +739,8 @@ def test_pipeline(spark):
     for r in sorted(rows, key=lambda r: r.doc_id):
         first.setdefault(__import__("re").sub("[\\x20\\x09-\\x0D]+", " ", r.text or ""), r)
     rows = list(first.values())
-    prints = [_fingerprint(r.text) for r in rows]
-    root = list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
-                old, new = root[a], root[b]
-                root = [new if x == old else x for x in root]
-    rows = [r for k, r in enumerate(rows) if k == min((j for j in range(len(rows)) if root[j] == root[k]), key=lambda j: rows[j].doc_id)]
+    least = _near([(r.doc_id, r.text) for r in rows])
+    rows = [r for r in rows if least[r.doc_id] == r.doc_id]
     left = spark.createDataFrame(rows, docs.schema)
     drawn = {r.doc_id for r in mixing.mixed(left).filter("__kept").collect()}
     assert {r.doc_id for r in out} == drawn
