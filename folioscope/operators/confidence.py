@@ -82,8 +82,8 @@ def by_source(elements: DataFrame) -> DataFrame:
 def grouping_sets(elements: DataFrame) -> DataFrame:
     """All four groupings of the report in one pass over the elements."""
     rows = _rows(elements)
-    sets = [[rows["doc_key"]], [rows["doc_key"], rows["page_num"]], [rows["doc_key"], rows["elem_type"]], [rows["doc_key"], rows["source"]]]
-    grouped = rows.groupingSets(sets, rows["doc_key"], rows["page_num"], rows["elem_type"], rows["source"])
+    sets = [[F.col("doc_key")], [F.col("doc_key"), F.col("page_num")], [F.col("doc_key"), F.col("elem_type")], [F.col("doc_key"), F.col("source")]]
+    grouped = rows.groupingSets(sets, *(F.col(n) for n in ("doc_key", "page_num", "elem_type", "source")))
     return grouped.agg(F.grouping_id().alias("gid"), r4(F.avg("c")).alias("avg"), r4(F.min("c")).alias("min"), F.count("*").alias("n"))
 
 

@@ -49,6 +49,13 @@ def usage(runs: DataFrame) -> DataFrame:
 
 
 def running_average(runs: DataFrame, by: str) -> DataFrame:
-    """runs with the mean time of all runs of `by` so far."""
-    w = Window.partitionBy(by).orderBy("ts", "run_id").rowsBetween(Window.unboundedPreceding, 0)
-    return runs.withColumn("avg_time", F.round(F.round(F.avg("elapsed").over(w), 9), 6))
+    """runs with the mean time of all runs of `by` so far: sums of the days before, and a window within the day."""
+    rows = runs.withColumn("__day", F.to_date("ts"))
+    days = rows.groupBy(by, "__day").agg(F.sum("elapsed").alias("s"), F.count("elapsed").alias("n"))
+    earlier = Window.partitionBy(by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = days.select(F.col(by).alias("__by"), F.col("__day").alias("__d"), F.coalesce(F.sum("s").over(earlier), F.lit(0.0)).alias("__s"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__n"))
+    w = Window.partitionBy(by, "__day").orderBy("ts", "run_id").rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("__own", F.coalesce(F.sum("elapsed").over(w), F.lit(0.0))).withColumn("__count", F.count("elapsed").over(w))
+    joined = own.join(starts, F.col(by).eqNullSafe(F.col("__by")) & F.col("__day").eqNullSafe(F.col("__d")))
+    mean = F.try_divide(F.col("__s") + F.col("__own"), F.col("__n") + F.col("__count"))
+    return joined.select(*runs.columns, F.round(F.round(mean, 9), 6).alias("avg_time"))

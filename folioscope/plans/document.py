@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import merge_hyphens
 from folioscope.operators import confidence, enforce, language, links, noise, render, validate
-from folioscope.runtime import written
+from folioscope.runtime import settled, written
 
 
 def process_elements(elements: DataFrame, noise_filter: bool = True, caption_extraction: bool = True, footnote_linking: bool = True) -> DataFrame:
@@ -34,11 +34,11 @@ def render_markdown(processed: DataFrame, metadata: DataFrame | None = None) ->
 
 
 def process_documents(elements: DataFrame, metadata: DataFrame | None = None, min_score: float = 0.6, **flags: bool) -> tuple[DataFrame, DataFrame]:
-    """(markdown, report). The processed elements and the Markdown are written between, as both are read several times."""
+    """(markdown, report), both tables in the shared folder. The processed elements, which several reports read, are written between and removed."""
     processed = written(process_elements(elements, **flags), "processed")
     markdown = written(render_markdown(processed, metadata), "markdown")
     reports = validate.report(markdown, "doc_key")
     gated = validate.gate(markdown, reports, "doc_key", min_score=min_score)
     scores = confidence.overall(confidence.statistics(processed))
     report = reports.join(gated, "doc_key").join(scores.withColumnRenamed("score", "confidence_score"), "doc_key").join(markdown.select("doc_key", "language", F.md5("md").alias("md_md5"), F.length("md").alias("md_chars")), "doc_key")
-    return markdown, report
+    return markdown, settled(report, "report", processed)

@@ -45,7 +45,7 @@ def check_request(dpi: int, lang: str) -> None:
 def extract(files: DataFrame, make: Callable[[], Callable[[str, bytes], list[dict]]]) -> DataFrame:
     """Run an extractor over files: `make` loads its model once per task and returns a function of (path, content) to element rows.
 
-    A file that fails yields no rows rather than ending the job.
+    A file that fails yields one row of type `error` with the reason rather than ending the job.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,10 +9,31 @@ from pyspark.sql import functions as F
 ELEMENT_COLUMNS = ["doc_key", "page_num", "elem_idx", "elem_type", "content", "x0", "y0", "x1", "y1", "y", "font_size", "confidence"]
 
 
-def document_lines(docs: DataFrame) -> DataFrame:
+#: Ids of a range within which a source's pages are counted by one task.
+PAGE_RANGE = 1 << 16
+
+
+def numbered_pages(docs: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(source, doc_id, text, page_num): the rows of a source by id, from 1 or after the pages that `before` (source, pages) has of it.
+
+    A source can hold most rows, so pages are counted in ranges of ids, and a range starts at the sum of those before it.
+    Null ids are a range of their own, the first; ties may go either way.
+    """
+    rows = docs.select("source", "doc_id", "text").withColumn("part", F.floor(F.col("doc_id") / PAGE_RANGE))
+    sizes = rows.groupBy("source", "part").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(earlier, F.lit(0)).alias("start"))
+    if before is not None:
+        done = before.select(F.col("source").alias("d"), "pages")
+        starts = starts.join(done, F.col("s").eqNullSafe(F.col("d")), "left").select("s", "p", (F.col("start") + F.coalesce("pages", F.lit(0))).alias("start"))
+    at = F.row_number().over(Window.partitionBy("source", "part").orderBy("doc_id"))
+    joined = rows.withColumn("at", at).join(starts, F.col("source").eqNullSafe(F.col("s")) & F.col("part").eqNullSafe(F.col("p")))
+    return joined.select("source", "doc_id", "text", (F.col("start") + F.col("at")).cast("long").alias("page_num"))
+
+
+def document_lines(docs: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """One row per line of each document: a source is a document, its rows by id are the pages."""
-    pages = docs.select("source", "doc_id", "text", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("page_num"))
-    lines = pages.select(F.col("source").alias("doc_key"), "doc_id", "page_num", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    lines = numbered_pages(docs, before).select(F.col("source").alias("doc_key"), "doc_id", "page_num", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     return lines.select("doc_key", "doc_id", "page_num", F.col("line_no").cast("long").alias("elem_idx"), F.trim("raw").alias("raw"), (F.col("doc_id") * 31 + F.col("line_no") * 7).alias("k"))
 
 
@@ -46,9 +67,9 @@ COLUMNS_SQL = f"""doc_key, page_num, elem_idx, k,
   1.0e0 - cast((k * 37) % 71 AS DOUBLE) / 100.0e0 AS confidence"""
 
 
-def elements(docs: DataFrame) -> DataFrame:
+def elements(docs: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """The element table over documents: each line is an element whose type, place and confidence follow from its numbers."""
-    lines = document_lines(docs)
+    lines = document_lines(docs, before)
     return lines.selectExpr(*_split_columns(COLUMNS_SQL)).drop("k")
 
 

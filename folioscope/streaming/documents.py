@@ -7,16 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from folioscope.plans.document import process_documents
+from folioscope.runtime import drop
 from folioscope.sources.elements import elements
 
 
 def process_new_documents(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Run the pipeline on the documents that have arrived since the last call; reports are appended to `out`, once per batch."""
+    """Run the pipeline on the documents that have arrived since the last call.
+
+    A batch has a folder of its own below `out`, which a replay writes anew, so a report is there once. Pages of a
+    source go on from the batches before, whose counts lie in `out` + "_pages". What a batch writes between is removed.
+    """
     stream = spark.readStream.schema(schema).parquet(folder)
 
     def batch(rows: DataFrame, number: int) -> None:
-        _, report = process_documents(elements(rows))
-        report.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        counts = rows.groupBy("source").agg(F.count("*").alias("pages"))
+        counts.write.mode("overwrite").parquet(f"{out}_pages/batch={number}")
+        seen = spark.read.schema("source string, pages long, batch long").parquet(f"{out}_pages").filter(F.col("batch") < number)
+        markdown, report = process_documents(elements(rows, seen.groupBy("source").agg(F.sum("pages").alias("pages"))))
+        report.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        drop(markdown)
+        drop(report)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
