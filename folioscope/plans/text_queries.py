@@ -38,17 +38,12 @@ def on_markdown(name: str, run: Callable[[DataFrame], DataFrame], select: str |
 
 
 #: A text with everything that the clean-up functions look for; the same expression in both engines.
-MESSY = "'  − a – b' || chr(10) || '   * item ' || substring(text, 1, 30) || chr(10) || chr(10) || chr(10) || chr(10) || '# Head bro-' || chr(10) || 'ken and Ab1-' || chr(10) || ' Cd2' || chr(10) || '|=- stray  two   blanks' || chr(10) || '<!-- role:artifact --> <!-- /role -->' || chr(10) || '## Page 12' || chr(10) || '**bold** and *it* with `code` see [link](http://x) 2024-01-05 ' || substring(text, 31, 40) || chr(10) || '  '"
-
-
-#: The same around the whole text, twice.
-WHOLE = MESSY.replace("substring(text, 1, 30)", "text").replace("substring(text, 31, 40)", "text")
+MESSY = "'  − a – b' || chr(10) || '   * item ' || text || chr(10) || chr(10) || chr(10) || chr(10) || '# Head bro-' || chr(10) || 'ken and Ab1-' || chr(10) || ' Cd2' || chr(10) || '|=- stray  two   blanks' || chr(10) || '<!-- role:artifact --> <!-- /role -->' || chr(10) || '## Page 12' || chr(10) || '**bold** and *it* with `code` see [link](http://x) 2024-01-05 ' || text || chr(10) || '  '"
 
 
 def scalar(name: str, column: Callable[[], object], sql: str) -> None:
-    """A function of the messy text of each document: of its first 70 characters, and as <name>_whole of all of it."""
-    for query, messy in ((name, MESSY), (f"{name}_whole", WHOLE)):
-        on_docs(query, lambda d, messy=messy: d.selectExpr("doc_id", f"{messy} AS t").select("doc_id", column().alias("out")), f"SELECT doc_id, {sql} AS out FROM (SELECT doc_id, {messy} AS t FROM documents)")
+    """A function of the messy text of each document, which has the whole text twice."""
+    on_docs(name, lambda d: d.selectExpr("doc_id", f"{MESSY} AS t").select("doc_id", column().alias("out")), f"SELECT doc_id, {sql} AS out FROM (SELECT doc_id, {MESSY} AS t FROM documents)")
 
 
 t = lambda: F.col("t")

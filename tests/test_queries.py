@@ -50,7 +50,7 @@ def test_whole_text_is_cleaned(spark, tmp_path, name):
     filler = "plain words " * 10
     docs = spark.createDataFrame([(1, filler + "Far bro-\nken **far** <!-- far --> [far](y)   `far`\n* far", "en", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    out = entry.queries()[f"{name}_whole"](spark, str(tmp_path)).first().out
+    out = entry.queries()[name](spark, str(tmp_path)).first().out
     tail = {
         "hyphen_merge_strict": "Far broken **far**", "hyphen_merge_loose": "Far broken **far**", "clean_artifacts": "[far](y) `far`", "normalize_markdown": "`far`\n- far", "strip_comments": "**far**  [far](y)",
         "md_to_txt": "ken far <!-- far --> far   `far`", "md_to_txt_code": "ken far <!-- far --> far   far", "sanitize_filename": "plain_words_" * 9, "fold_case": "far bro- ken **far**",
