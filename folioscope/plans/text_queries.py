@@ -267,6 +267,13 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["usage_stats"] = lambda spark, sf_dir: ST.usage(_runs(spark, sf_dir))
 SQL["usage_stats"] = f"SELECT count(*) AS total_conversions, sum(words)::BIGINT AS total_words, count(*) AS total_files, round(avg(elapsed)::DECIMAL(28, 9), 6)::DOUBLE AS avg_time FROM (SELECT {RUNS} FROM events)"
+USED = f"SELECT count(*) AS n, sum(words)::BIGINT AS w, round(avg(elapsed)::DECIMAL(28, 9), 6)::DOUBLE AS a FROM (SELECT {RUNS} FROM events)"
+QUERIES["usage_update"] = lambda spark, sf_dir: (lambda runs: ST.update_usage(ST.usage(runs.filter("run_id % 10 <> 0")), runs.filter("run_id % 10 = 0")))(_runs(spark, sf_dir))
+SQL["usage_update"] = f"SELECT o.n + m.n AS total_conversions, o.w + m.w AS total_words, o.n + m.n AS total_files, round(((o.a * o.n + m.a * m.n) / (o.n + m.n))::DECIMAL(28, 9), 6)::DOUBLE AS avg_time FROM ({USED} WHERE run_id % 10 <> 0) o, ({USED} WHERE run_id % 10 = 0) m"
+QUERIES["usage_display"] = lambda spark, sf_dir: ST.usage_display(ST.usage(_runs(spark, sf_dir)))
+SQL["usage_display"] = f"SELECT '**Usage Statistics**' || chr(10) || chr(10) || '**Total Conversions:** ' || n || chr(10) || '**Total Words:** ' || format('{{:,}}', w) || chr(10) || '**Avg Time:** ' || printf('%.1f', a) || 's' || chr(10) AS shown FROM ({USED})"
+QUERIES["history_save"] = lambda spark, sf_dir: (lambda runs: ST.save_history(ST.history(runs.filter("run_id % 2 = 0")), runs.filter("run_id % 2 = 1")))(_runs(spark, sf_dir)).select("run_id", "filename")
+SQL["history_save"] = f"SELECT run_id, filename FROM (SELECT {RUNS} FROM events) ORDER BY ts DESC, run_id DESC LIMIT 10"
 QUERIES["history_topk"] = lambda spark, sf_dir: ST.history(_runs(spark, sf_dir)).select("run_id", "filename", F.date_format("ts", "MM/dd HH:mm").alias("shown"))
 SQL["history_topk"] = f"SELECT run_id, filename, strftime(ts, '%m/%d %H:%M') AS shown FROM (SELECT {RUNS} FROM events) ORDER BY ts DESC, run_id DESC LIMIT 10"
 QUERIES["history_display"] = lambda spark, sf_dir: ST.history_lines(_runs(spark, sf_dir))

@@ -145,6 +145,21 @@ def test_state(spark):
     assert state.usage(runs).first().total_conversions == 0
 
 
+def test_state_written_back(spark, tmp_path):
+    runs = spark.createDataFrame([(k, f"f{k}", 100 * k, float(k)) for k in range(1, 13)], "run_id long, filename string, words long, elapsed double").withColumn("ts", F.timestamp_seconds("run_id")).withColumn("method", F.lit("x"))
+    path = str(tmp_path / "history")
+    state.write_back(state.history(runs.filter("run_id < 12")), path)
+    state.write_back(state.save_history(spark.read.parquet(path), runs.filter("run_id = 12")), path)  # made from what it replaces
+    assert sorted(r.run_id for r in spark.read.parquet(path).collect()) == list(range(3, 13))
+    state.write_back(state.clear(spark.read.parquet(path)), path)
+    assert spark.read.parquet(path).count() == 0 and spark.read.parquet(path).columns == runs.select("run_id", "filename", "words", "elapsed", "ts", "method").columns
+    stats = state.usage(runs.filter("run_id < 12"))
+    assert state.update_usage(stats, runs.filter("run_id = 12")).first() == state.usage(runs).first()
+    none = state.usage(runs.limit(0))
+    assert state.update_usage(none, runs.limit(0)).first().avg_time == 0.0
+    assert state.usage_display(state.usage(runs)).first().shown == "**Usage Statistics**\n\n**Total Conversions:** 12\n**Total Words:** 7,800\n**Avg Time:** 6.5s\n"
+
+
 def test_adapters(spark, tmp_path):
     with pytest.raises(adapters.MissingLibrary):
         adapters.need("no_such_library_here")
