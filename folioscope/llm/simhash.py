@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,10 @@ _CHUNK = 1 << 16
 #: Bands of a document, and least values in each: two sets of similarity s share a band with probability 1 - (1 - s ** ROWS) ** BANDS.
 BANDS, ROWS = 20, 6
 _tables: list[np.ndarray] = []
+#: Bits of a shingle's value whose texts are counted, to put frequent shingles last in an order of all.
+COUNT_BITS = 18
+#: Room for the rounding of a share of a count; counts differ by 1.
+_SLACK = 1e-6
 #: Fingerprints of a task that emits their variants, about.
 SPREAD_ROWS = 20_000
 
@@ -155,7 +159,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     """(a, b): pairs of classes (c, fp, bands) worth a comparison, a < b.
 
     Two ways lead to a pair: fingerprints within 2 bits, by ball hashing, and a common band. A group of one
-    fingerprint or band gives stars to its smallest and its largest class, not its pairs; a pair has several groups.
+    fingerprint or band gives stars to its smallest and its largest class, not its pairs: links can be missing, and apart() finds them.
     """
     keys = classes.select("c", F.explode("bands").alias("key"))
     ends = keys.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
@@ -169,6 +173,72 @@ def candidates(classes: DataFrame) -> DataFrame:
     return every.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
 
 
+def _ranks(texts: DataFrame, size: int) -> np.ndarray:
+    """For each number of COUNT_BITS bits, how many shingles of the texts begin with it. Any numbers give a right order; these give short groups."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                values = np.unique(_shingles(text.as_py(), size))
+                np.add.at(found, (values >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+        at = np.flatnonzero(found)
+        for k in range(0, len(at), _CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + _CHUNK].astype(np.int32)), pa.array(found[at[k : k + _CHUNK]])], names=["bits", "n"])
+
+    table = texts.select("text").mapInArrow(count, "bits int, n long").groupBy("bits").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNT_BITS, np.int64)
+    out[table.column("bits").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
+def prefixes(rows: DataFrame, ranks: np.ndarray, size: int, similarity: float) -> DataFrame:
+    """(c, root, token, n, at): of each row (c, root, sig, text) the first shingles of its set of n, by one order for all rows, and their places in it.
+
+    Two sets of the similarity have ceil(similarity * n) shingles or more in common, n being the size of either. So the first of
+    those in the order stands among the first n - ceil(similarity * n) + 1 of both, and only these are given.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(ranks)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own: list[tuple[int, int, np.ndarray, int]] = []
+            for c, root, sig, text in zip(*(batch.column(k) for k in ("c", "root", "sig", "text")), strict=True):
+                values = np.unique(_shingles(text.as_py(), size))
+                n = len(values)
+                # A repeated id can bring another text than the class's.
+                if n == 0 or _signature(values) != sig.as_py():
+                    continue
+                order = np.lexsort((values, shared.value[(values >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
+                some = values[order[: n - int(np.ceil(similarity * n - _SLACK)) + 1]].view(np.int64)
+                own.append((c.as_py(), root.as_py(), some, n))
+            if own:
+                sizes = [len(x[2]) for x in own]
+                each = [np.repeat(np.array([x[k] for x in own], t), sizes) for k, t in ((0, np.int64), (1, np.int64), (3, np.int32))]
+                columns = [*each[:2], np.concatenate([x[2] for x in own]), each[2], np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])]
+                whole = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["c", "root", "token", "n", "at"])
+                for k in range(0, whole.num_rows, _CHUNK):
+                    yield whole.slice(k, _CHUNK)
+
+    return rows.select("c", "root", "sig", "text").mapInArrow(first, "c long, root long, token long, n int, at int")
+
+
+def apart(tokens: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every pair of classes of tokens (c, root, token, n, at) with different roots that can reach the similarity, a < b.
+
+    A pair is sought at the first shingle that both have in the order. From there on the smaller rest bounds what they have in common.
+    Of a shingle's rows, those of the root that has most need no pair among themselves, so a large group of copies costs its rows, not their pairs.
+    """
+    sizes = tokens.groupBy("token", "root").agg(F.count("*").alias("rows"))
+    most = sizes.groupBy("token").agg(F.count("*").alias("roots"), F.max_by("root", "rows").alias("main")).filter("roots > 1").select("token", "main")
+    shared = tokens.join(most, "token")
+    one = shared.filter("root <> main").select("token", F.col("c").alias("d"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("at").alias("place"))
+    both = one.join(shared, "token").filter("root <> other and (root = main or c < d)")
+    most_common = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place"))
+    able = both.filter(most_common * (1 + similarity) >= (F.col("n") + F.col("m")) * similarity - _SLACK)
+    return able.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
+
+
 def similar(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     """(a, b) of rows (a, b, sig_a, sig_b, text_a, text_b) whose sets of shingles have a Jaccard similarity of at least `similarity`."""
 
@@ -199,9 +269,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Similarity is that of Jaccard on the sets of `size`-word shingles, and every link is verified on whole texts. At this
     similarity two fingerprints differ by 10 of 64 bits or more as a rule, and the variants within half of that are too many to
-    emit; so ball hashing finds the pairs within 2 bits, and bands of least values (BANDS of ROWS) find the others:
-    99.8 % of pairs at 0.8 share a band. Rows with one set of shingles, texts without a word among them, are one class before any pair is sought,
-    so a group of copies costs one row. A row with a null id is in no group. An id with several texts is in the
+    emit; so ball hashing finds the pairs within 2 bits, and bands of least values (BANDS of ROWS) find others:
+    99.8 % of pairs at 0.8 share a band. A group of these gives stars, not pairs, and a star can fail where two of its ends are
+    alike; so an exact search follows: classes that these links leave apart are paired by the first shingles of their
+    sets (`prefixes`, `apart`), which no pair of the similarity can miss, and verified in the same way. Rows with one set of
+    shingles, texts without a word among them, are one class before any pair is sought, so a group of copies costs one row. A row with a null id is in no group. An id with several texts is in the
     groups of all of them, with a row for each. Extra columns are ignored; an empty table gives an empty one.
     """
     marked = written(sketches(docs, id_col, text_col, size), "sketches")
@@ -209,14 +281,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = written(grouped.withColumn("c", F.monotonically_increasing_id()), "classes")
     pairs = written(candidates(classes), "pairs")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    asked = pairs
-    for end in "ab":
-        own = classes.select(F.col("c").alias(end), F.col("least").alias("id"), F.col("sig").alias(f"sig_{end}"))
-        asked = asked.join(own, end).join(texts.withColumnRenamed("text", f"text_{end}"), "id").drop("id")
-    links = written(similar(asked, size, similarity), "links")
-    drop(pairs)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = pairs
+        for end in "ab":
+            own = classes.select(F.col("c").alias(end), F.col("least").alias("id"), F.col("sig").alias(f"sig_{end}"))
+            asked = asked.join(own, end).join(texts.withColumnRenamed("text", f"text_{end}"), "id").drop("id")
+        return settled(similar(asked, size, similarity), "links", pairs)
+
+    links = verified(pairs)
     roots = connected_components(links, "a", "b")
     drop(links)
+    placed = classes.select(F.col("least").alias("id"), "c", "sig").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    tokens = prefixes(texts.join(placed, "id"), _ranks(texts, size), size, similarity)
+    # Most shingles are those of one text or one root.
+    token = Window.partitionBy("token")
+    several = tokens.withColumn("low", F.min("root").over(token)).withColumn("high", F.max("root").over(token)).filter("low < high").drop("low", "high")
+    several = written(several, "prefixes")
+    more = verified(settled(apart(several, similarity), "pairs", several))
+    roots = connected_components(more.union(roots.filter("node <> root").select("node", "root")), "a", "b")
+    drop(more)
     labelled = classes.join(roots, classes["c"] == roots["node"], "left").select("sig", "least", F.coalesce("root", "c").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component"))
     by_sig = labelled.join(smallest, "root").select("sig", "component")

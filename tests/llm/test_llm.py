@@ -728,6 +728,34 @@ def test_near_copies_equal_brute_force(spark):
     assert simhash.near_copies(docs.limit(0)).count() == 0 and simhash.kept(docs).columns == docs.columns
 
 
+def test_near_copies_miss_no_pair_at_the_threshold(spark):
+    """Pairs of 40 common shingles and 5 of their own on each side: 0.8, where two of 1000 pairs share no band."""
+    texts = []
+    for g in range(1500):
+        base = " ".join(f"g{g}w{k}" for k in range(44))
+        texts += [base + "".join(f" g{g}{side}{k}" for k in range(5)) for side in "ab"]
+    docs = _docs(spark, texts)
+    got = {r.id: r.component for r in simhash.near_copies(docs).collect()}
+    assert [i for i in range(len(texts)) if got[i] != i - i % 2] == []
+
+
+def test_apart_pairs_all_but_one_root(spark):
+    """Every pair of sets that reaches the similarity and has two roots, against all pairs; none within a root."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(12):
+        base = [f"v{rng.randrange(60)}" for _ in range(rng.choice([6, 20, 60]))]
+        texts += [" ".join([*base, *(f"x{rng.randrange(10**6)}" for _ in range(rng.choice([0, 1, 3])))]) for _ in range(6)]
+    sets = [set(simhash._shingles(t, 5).tolist()) for t in texts]
+    rows = [(k, k % 3, simhash._signature(np.array(sorted(s), np.uint64)), t) for k, (s, t) in enumerate(zip(sets, texts, strict=True))]
+    table = spark.createDataFrame(rows, "c long, root long, sig binary, text string")
+    ranks = simhash._ranks(table, 5)
+    assert ranks.sum() == sum(map(len, sets))
+    got = {(r.a, r.b) for r in simhash.apart(simhash.prefixes(table, ranks, 5, 0.8), 0.8).collect()}
+    alike = {(a, b) for b in range(len(sets)) for a in range(b) if a % 3 != b % 3 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert alike and alike <= got and all(a % 3 != b % 3 for a, b in got)
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
