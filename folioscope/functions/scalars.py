@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscope.functions.patterns import DISPLAY_POINTS, METHOD_POINTS, TIERS
+from folioscope.functions.text import let
 
 
 def document_id(content: Column) -> Column:
@@ -37,17 +38,41 @@ def _rate(label: Column, column: int) -> Column:
     return out
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A double with at most 4 places as printf writes it: its exact binary value rounded, halves to the even digit.
+
+    format_string rounds the shortest decimal form half up instead, and writes 0.015, whose exact value is less, as 0.02.
+    """
+    scale = 10**places
+
+    def digits(x: Column) -> Column:
+        # Exactly, x * scale is product + rest: each half of x has bits enough to spare for the scale.
+        far = x * 134217729.0
+        high = far - (far - x)
+        product = x * float(scale)
+        rest = (high * float(scale) - product) + (x - high) * float(scale)
+        below = F.floor(product)
+        # A product off the middle lies on the same side of it as the exact value.
+        n = F.when(product - below != 0.5, F.rint(product)).when(rest > 0, below + 1).when(rest < 0, below).otherwise(F.rint(product)).cast("long")
+        return F.concat(F.floor(n / scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), places, "0"))
+
+    # Of larger numbers the product has few or no bits after the point.
+    near = F.abs(value) < 1e11
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.when(near, F.concat(sign, let(F.abs(value), digits))).otherwise(F.format_string(f"%.{places}f", value))
+
+
 def cost_by_pages(label: Column, pages: Column) -> Column:
     """The estimate shown for a number of pages, by the rate per 1000 pages."""
     cost = pages / 1000 * _rate(label, 2)
-    return F.concat(F.lit("**Estimated Cost:** "), F.when(cost == 0, "FREE").when(cost < 0.01, "< $0.01").otherwise(F.concat(F.lit("$"), F.format_string("%.2f", cost))))
+    return F.concat(F.lit("**Estimated Cost:** "), F.when(cost == 0, "FREE").when(cost < 0.01, "< $0.01").otherwise(F.concat(F.lit("$"), fixed(cost, 2))))
 
 
 def cost_by_tokens(label: Column, pages: Column) -> Column:
     """The estimate shown for a number of pages, by 1000 tokens a page and the rate per million."""
     cost = pages * 1000 / 1000000 * _rate(label, 3)
-    few = F.format_string("%.4f", cost)
-    many = F.format_string("%.2f", cost)
+    few = fixed(cost, 4)
+    many = fixed(cost, 2)
     unit = F.when(pages > 1, " pages)").otherwise(" page)")
     return F.when(cost == 0, "**Estimated Cost:** FREE").otherwise(F.concat(F.lit("**Estimated Cost:** ~$"), F.when(cost < 0.01, few).otherwise(many), F.lit(" ("), pages.cast("string"), unit))
 

@@ -112,3 +112,12 @@ def test_against_plain_versions(spark, texts):
     assert many(spark, lambda c: F.size(T.words(c)), texts) == [len(t.split()) for t in texts]
     assert many(spark, T.mask_numbers, texts) == [re.sub(r"\b\d+\b", "[NUM]", t.strip()) for t in texts]
     assert many(spark, T.clean_ends, texts) == ["\n".join(x.rstrip() for x in re.sub(r"\n{4,}", "\n\n\n", t).split("\n")).rstrip("\n") + "\n" for t in texts]
+
+
+def test_fixed_places_are_those_of_printf(spark):
+    values = [0.005, 0.015, 0.025, 0.045, 0.125, 0.285, 0.375, 0.995, 1.005, 2.5, 0.0, -0.015, -0.125, 1234567.125, 1e10 + 0.25, 2.675, 0.00005, 0.00015, 3e15]
+    values += [k * 0.005 for k in range(400)] + [k / 1000 * 0.05 for k in range(700)] + [k / 1000 * 0.15 for k in range(700)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", S.fixed(F.col("x"), 2).alias("two"), S.fixed(F.col("x"), 4).alias("four")).collect()
+    assert [(r.two, r.four) for r in rows] == [(f"{r.x:.2f}", f"{r.x:.4f}") for r in rows]
+    price = spark.range(1).select(S.cost_by_pages(F.lit("Qwen 2.5-VL 72B ($0.15/1K pages)"), F.lit(100)).alias("a")).first().a
+    assert price == f"**Estimated Cost:** ${100 / 1000 * 0.15:.2f}" == "**Estimated Cost:** $0.01"
