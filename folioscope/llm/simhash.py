@@ -192,35 +192,92 @@ def _ranks(texts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def _cut(ranks: np.ndarray, share: float) -> int:
+    """The largest count up to which the counts hold at most `share` of all; 0 if the least ones hold more."""
+    values, times = np.unique(ranks[ranks > 0], return_counts=True)
+    at = np.searchsorted(np.cumsum(values * times), share * ranks.sum(), side="right")
+    return int(values[at - 1]) if at else 0
+
+
 def prefixes(rows: DataFrame, ranks: np.ndarray, size: int, similarity: float) -> DataFrame:
-    """(c, root, token, n, at): of each row (c, root, sig, text) the first shingles of its set of n, by one order for all rows, and their places in it.
+    """(c, root, token, n, at, early): of each row (c, root, sig, text) the first shingles of its set of n, by one order for all rows, and their places in it.
 
     Two sets of the similarity have ceil(similarity * n) shingles or more in common, n being the size of either. So the first of
-    those in the order stands among the first n - ceil(similarity * n) + 1 of both, and only these are given.
+    those in the order stands among the first n - ceil(similarity * n) + 1 of both. These are given, and whatever is early:
+    before one cut for all rows, about as far on. `early` is the number of the latter.
     """
     shared = rows.sparkSession.sparkContext.broadcast(ranks)
+    cut = _cut(ranks, 1 - similarity)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own: list[tuple[int, int, np.ndarray, int]] = []
+            own: list[tuple[int, int, np.ndarray, int, int]] = []
             for c, root, sig, text in zip(*(batch.column(k) for k in ("c", "root", "sig", "text")), strict=True):
                 values = np.unique(_shingles(text.as_py(), size))
                 n = len(values)
                 # A repeated id can bring another text than the class's.
                 if n == 0 or _signature(values) != sig.as_py():
                     continue
-                order = np.lexsort((values, shared.value[(values >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
-                some = values[order[: n - int(np.ceil(similarity * n - _SLACK)) + 1]].view(np.int64)
-                own.append((c.as_py(), root.as_py(), some, n))
+                counts = shared.value[(values >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+                early = int((counts <= cut).sum())
+                some = values[np.lexsort((values, counts))[: max(early, n - int(np.ceil(similarity * n - _SLACK)) + 1)]].view(np.int64)
+                own.append((c.as_py(), root.as_py(), some, n, early))
             if own:
                 sizes = [len(x[2]) for x in own]
-                each = [np.repeat(np.array([x[k] for x in own], t), sizes) for k, t in ((0, np.int64), (1, np.int64), (3, np.int32))]
-                columns = [*each[:2], np.concatenate([x[2] for x in own]), each[2], np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])]
-                whole = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["c", "root", "token", "n", "at"])
+                each = [np.repeat(np.array([x[k] for x in own], t), sizes) for k, t in ((0, np.int64), (1, np.int64), (3, np.int32), (4, np.int32))]
+                columns = [*each[:2], np.concatenate([x[2] for x in own]), each[2], np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]), each[3]]
+                whole = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["c", "root", "token", "n", "at", "early"])
                 for k in range(0, whole.num_rows, _CHUNK):
                     yield whole.slice(k, _CHUNK)
 
-    return rows.select("c", "root", "sig", "text").mapInArrow(first, "c long, root long, token long, n int, at int")
+    return rows.select("c", "root", "sig", "text").mapInArrow(first, "c long, root long, token long, n int, at int, early int")
+
+
+def able(tokens: DataFrame, similarity: float) -> DataFrame:
+    """(c, n): the classes that can reach the similarity with a class of another root; tokens are those of `prefixes` that several roots have.
+
+    An early shingle of one set is in another set only if it is early there too. So those that no other root has are in no set of
+    another root: a class can have no more in common with any than its size less their number, `own`. A pair of sizes n and m has
+    (n + m) * similarity / (1 + similarity) in common or more. So the smaller set of a pair has few of them for its own size (`core`),
+    and the larger few enough for the smallest such set that it has a shingle of.
+    """
+    share = similarity / (1 + similarity)
+    classes = tokens.groupBy("c", "n", "early").agg(F.count_if(F.col("at") < F.col("early")).alias("met"))
+    classes = classes.select("c", "n", (F.col("n") - F.col("early") + F.col("met")).alias("most"))
+    core = classes.filter(F.col("most") >= 2 * share * F.col("n") - _SLACK).select("c")
+    least = tokens.join(core, "c", "left_semi").groupBy("token").agg(F.min("n").alias("m"))
+    smallest = tokens.join(least, "token").groupBy("c").agg(F.min("m").alias("m"))
+    needed = (F.col("n") + F.greatest(F.col("m"), F.col("n") * similarity)) * share
+    return classes.join(smallest, "c").filter(F.col("most") >= needed - _SLACK).select("c", "n")
+
+
+def whole_sets(rows: DataFrame, size: int) -> DataFrame:
+    """(c, root, token): every shingle of the set of each row (c, root, sig, text)."""
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, root, sig, text in zip(*(batch.column(k) for k in ("c", "root", "sig", "text")), strict=True):
+                values = np.unique(_shingles(text.as_py(), size))
+                if _signature(values) != sig.as_py():  # as in prefixes
+                    continue
+                for k in range(0, len(values), _CHUNK):
+                    some = values[k : k + _CHUNK].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), x.as_py(), np.int64)) for x in (c, root)] + [pa.array(some)], names=["c", "root", "token"])
+
+    return rows.select("c", "root", "sig", "text").mapInArrow(every, "c long, root long, token long")
+
+
+def rarest(sets: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """(c, root, token, n, at): as `prefixes`, but in the order of the true number of rows of sets (c, root, token); sizes are (c, n).
+
+    Shingles of one root come first and are not given, as no pair is sought at them.
+    """
+    token = Window.partitionBy("token")
+    counted = sets.withColumn("low", F.min("root").over(token)).withColumn("high", F.max("root").over(token)).withColumn("rows", F.count("*").over(token))
+    shared = counted.filter("low < high").select("c", "root", "token", "rows")
+    last = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("rows"), F.desc("token")))
+    placed = shared.withColumn("last", last).join(sizes, "c").withColumn("at", F.col("n") - F.col("last"))
+    return placed.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity - _SLACK)).select("c", "root", "token", "n", F.col("at").cast("int").alias("at"))
 
 
 def apart(tokens: DataFrame, similarity: float) -> DataFrame:
@@ -235,8 +292,8 @@ def apart(tokens: DataFrame, similarity: float) -> DataFrame:
     one = shared.filter("root <> main").select("token", F.col("c").alias("d"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("at").alias("place"))
     both = one.join(shared, "token").filter("root <> other and (root = main or c < d)")
     most_common = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place"))
-    able = both.filter(most_common * (1 + similarity) >= (F.col("n") + F.col("m")) * similarity - _SLACK)
-    return able.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
+    can = both.filter(most_common * (1 + similarity) >= (F.col("n") + F.col("m")) * similarity - _SLACK)
+    return can.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
 
 
 def similar(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -298,7 +355,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     token = Window.partitionBy("token")
     several = tokens.withColumn("low", F.min("root").over(token)).withColumn("high", F.max("root").over(token)).filter("low < high").drop("low", "high")
     several = written(several, "prefixes")
-    more = verified(settled(apart(several, similarity), "pairs", several))
+    left = settled(able(several, similarity), "able", several)
+    first = rarest(whole_sets(texts.join(placed.join(left, "c"), "id"), size), left, similarity)
+    first = settled(first, "prefixes", left)
+    more = verified(settled(apart(first, similarity), "pairs", first))
     roots = connected_components(more.union(roots.filter("node <> root").select("node", "root")), "a", "b")
     drop(more)
     labelled = classes.join(roots, classes["c"] == roots["node"], "left").select("sig", "least", F.coalesce("root", "c").alias("root"))

@@ -18,7 +18,7 @@ import corpus_pipeline
 from folioscope.llm import ann, bpe, chunks, exact_dedup, html_extract, language, mixing, quality, simhash, substring_dedup, token_store
 from folioscope.llm.components import connected_components
 from folioscope.llm.words import word_hashes
-from folioscope.runtime import scratch_path
+from folioscope.runtime import scratch_path, written
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 SF = "/root/testdata/sf0.001"
@@ -756,6 +756,47 @@ def test_apart_pairs_all_but_one_root(spark):
     assert alike and alike <= got and all(a % 3 != b % 3 for a, b in got)
 
 
+def test_no_pair_is_lost_in_the_second_order(spark, monkeypatch):
+    """Classes that cannot reach the similarity go, and pairs are sought at the rarest shingles: against all pairs, with exact and with coarse counts."""
+    for bits in (18, 7, 2):
+        monkeypatch.setattr(simhash, "COUNT_BITS", bits)
+        rng = random.Random(bits)
+        texts = []
+        for _ in range(30):
+            base = [f"v{rng.randrange(90)}" for _ in range(rng.choice([3, 6, 20, 60, 200]))]
+            for _ in range(5):
+                own = [w if rng.random() > 0.01 else f"x{rng.randrange(10**6)}" for w in base]
+                texts.append(" ".join([*own, *(f"x{rng.randrange(10**6)}" for _ in range(rng.choice([0, 0, 1, 3, len(base) // 5])))]))
+        texts += [" ".join(f"s{g}w{k}" for k in range(200)) for g in range(40)]
+        texts = list(dict.fromkeys(texts))
+        sets = [set(simhash._shingles(t, 5).tolist()) for t in texts]
+        rows = [(k, k % 7, simhash._signature(np.array(sorted(s), np.uint64)), t) for k, (s, t) in enumerate(zip(sets, texts, strict=True))]
+        table = spark.createDataFrame(rows, "c long, root long, sig binary, text string")
+        tokens = simhash.prefixes(table, simhash._ranks(table, 5), 5, 0.8)
+        roots = tokens.groupBy("token").agg(F.count_distinct("root").alias("roots")).filter("roots > 1")
+        left = simhash.able(tokens.join(roots, "token", "left_semi"), 0.8)
+        found = {r.c: r.n for r in left.collect()}
+        first = simhash.rarest(simhash.whole_sets(table.join(left, "c"), 5), left, 0.8)
+        got = {(r.a, r.b) for r in simhash.apart(first, 0.8).collect()}
+        alike = {(a, b) for b in range(len(sets)) for a in range(b) if a % 7 != b % 7 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+        assert len(alike) > 20 and alike <= got and {x for p in alike for x in p} <= set(found)
+        assert all(n == len(sets[c]) for c, n in found.items()) and not any(texts[c].startswith("s") for c in found)
+
+
+def test_a_shared_passage_gives_no_pairs(spark, monkeypatch):
+    """Texts that share a passage but little else are not paired, also when a count stands for as many shingles as in a large table."""
+    monkeypatch.setattr(simhash, "COUNT_BITS", 2)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [" ".join(f"t{g}w{k}" for k in range(70)) + " " + passage for g in range(100)]
+    texts += [t + " more" for t in texts[:5]]
+    sought, apart = [], simhash.apart
+    monkeypatch.setattr(simhash, "apart", lambda *x: sought.append(apart(*x)) or sought[-1])
+    monkeypatch.setattr(simhash, "settled", lambda df, name, *used: written(df, name))
+    got = {r.id: r.component for r in simhash.near_copies(_docs(spark, texts)).collect()}
+    assert got == {i: i if i < 100 else i - 100 for i in range(105)}
+    assert sought[0].count() <= 5
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
