@@ -22,6 +22,8 @@ PER_LIST = 8
 REPLICAS, BOUNDARY = 4, 1.15
 #: Neighbours of a centroid in the graph; centroids of a point that one step of a walk expands.
 DEGREE, WIDTH = 24, 4
+#: A centroid that fewer have as a neighbour is linked from so many of its own nearest: few walks would come by it else.
+BACK = 12
 #: The distance that others are compared with is that of a query's REFERENCE-th nearest centroid: the nearest may hold the query itself.
 REFERENCE = 16
 #: Entries of lists, their bytes, and queries that meet in one task at most; larger lists are dealt over several.
@@ -93,7 +95,7 @@ class Centroids:
         near = np.concatenate([np.argpartition(_squares(centres[a : a + 1024], centres), degree - 1, axis=1)[:, :degree] for a in range(0, k, 1024)])
         # A ring over all centroids keeps the graph connected.
         ring = ((np.arange(k)[:, None] + np.array([1, -1])) % k).astype(near.dtype)
-        out = cls(centres, np.concatenate([near, ring], axis=1), np.unique(np.linspace(0, k - 1, min(32, k)).astype(int)), top)
+        out = cls(centres, np.concatenate([near, ring, _back(near, _squares_of(near, centres))], axis=1), np.unique(np.linspace(0, k - 1, min(32, k)).astype(int)), top)
         out._fit_ratio(sample, lifted, neighbours)
         return out
 
@@ -199,6 +201,25 @@ class Centroids:
         return out
 
 
+def _squares_of(near: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of each centre to its neighbours."""
+    return np.array([((centres[x] - c) ** 2).sum(axis=1) for x, c in zip(near, centres, strict=True)])
+
+
+def _back(near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """For each centroid, those that it is among the BACK nearest of and that fewer than BACK have as a neighbour; rows are filled up with itself."""
+    k = len(near)
+    rare = np.flatnonzero(np.bincount(near.ravel(), minlength=k) < BACK)
+    nearest = np.take_along_axis(near, np.argsort(far, axis=1), axis=1)[rare, :BACK]
+    at, to = nearest.ravel(), np.repeat(rare, nearest.shape[1])
+    order = np.argsort(at, kind="stable")
+    at, to = at[order], to[order]
+    count = np.bincount(at, minlength=k)
+    out = np.repeat(np.arange(k)[:, None], count.max(initial=0), axis=1).astype(near.dtype)
+    out[at, np.arange(len(at)) - (np.cumsum(count) - count)[at]] = to
+    return out
+
+
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(axis=1)[:, None] - 2 * (a @ b.T) + (b * b).sum(axis=1), 0)
 
