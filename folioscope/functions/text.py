@@ -81,12 +81,21 @@ def markdown_to_text(text: Column, code: bool = False) -> Column:
     return F.regexp_replace(out, r"\[(.+?)\]\(.+?\)", "$1")
 
 
-def clean_ends(text: Column) -> Column:
-    """At most two blank lines in a row, line ends as \\n, no blanks at line ends, one line end at the end."""
+def clean_inner(text: Column) -> Column:
+    """At most two blank lines in a row, line ends as \\n, no blanks at line ends."""
     out = F.regexp_replace(text, r"\n{4,}", "\n\n\n")
     out = F.regexp_replace(out, r"\r\n?", "\n")
-    out = F.regexp_replace(out, r"(?md)[ \t\r\f\x0B]+$", "")
-    return F.concat(F.regexp_replace(out, r"\n+\z", ""), F.lit("\n"))
+    return F.regexp_replace(out, r"(?md)[ \t\r\f\x0B]+$", "")
+
+
+def one_end(text: Column) -> Column:
+    """One line end at the end."""
+    return F.concat(F.regexp_replace(text, r"\n+\z", ""), F.lit("\n"))
+
+
+def clean_ends(text: Column) -> Column:
+    """clean_inner() with one line end at the end."""
+    return one_end(clean_inner(text))
 
 
 def has_front_matter(text: Column) -> Column:
@@ -109,13 +118,21 @@ def in_sequence(numbers: Column) -> Column:
     return F.when(F.size(numbers) == 0, True).otherwise(numbers == F.sequence(F.lit(1).cast("long"), F.greatest(F.size(numbers), F.lit(1)).cast("long")))
 
 
-def shift_headings(text: Column) -> Column:
-    """Heading levels moved up so that the highest is 1."""
-    level = lambda x: F.length(F.regexp_extract(x, r"^(#{1,6})\s+.", 1))
-    moved = lambda x, least: F.when(level(x) > 0, F.regexp_replace(F.substr(x, least), r"^(#{1,6})\s+(.+)$", "$1 $2")).otherwise(x)
+def _level(line: Column) -> Column:
+    return F.length(F.regexp_extract(line, r"^(#{1,6})\s+.", 1))
+
+
+def least_level(lines: Column) -> Column:
+    """The highest heading's level among an array of lines; null where there is no heading."""
+    return F.array_min(F.filter(F.transform(lines, _level), lambda n: n > 0))
+
+
+def shift_headings(text: Column, least: Column | None = None) -> Column:
+    """Heading levels moved up so that the highest is 1. least: the highest's level, if text is a piece of a longer one."""
+    moved = lambda x, least: F.when(_level(x) > 0, F.regexp_replace(F.substr(x, least), r"^(#{1,6})\s+(.+)$", "$1 $2")).otherwise(x)
 
     def whole(parts: Column) -> Column:
         return F.when(F.coalesce(parts["least"], F.lit(1)) > 1, F.array_join(F.transform(parts["lines"], lambda x: moved(x, parts["least"])), "\n")).otherwise(parts["text"])
 
-    least = lambda lines: F.array_min(F.filter(F.transform(lines, level), lambda n: n > 0))
-    return let(F.struct(text.alias("text"), F.split(text, "\n").alias("lines")), lambda t: let(F.struct(t["text"].alias("text"), t["lines"].alias("lines"), least(t["lines"]).alias("least")), whole))
+    top = lambda lines: least_level(lines) if least is None else least
+    return let(F.struct(text.alias("text"), F.split(text, "\n").alias("lines")), lambda t: let(F.struct(t["text"].alias("text"), t["lines"].alias("lines"), top(t["lines"]).alias("least")), whole))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import clean_ends, front_matter, has_front_matter, let, shift_headings, strip
+from folioscope.functions.text import clean_ends, clean_inner, front_matter, has_front_matter, least_level, let, one_end, shift_headings, strip
 
 PAGE_MARK = r"<!--\s*page:\s*(\d+)\s*-->"
 ROLE_MARK = r"<!--\s*role:(\w+)(?:\s+[^>]+)?\s*-->"
@@ -106,14 +106,23 @@ def with_front_matter(md: Column, block: Column) -> Column:
     return F.when(~has_front_matter(md), F.concat(block, F.lit("\n"), md)).when((end > 0) & lacks, replaced).otherwise(md)
 
 
-def ensure_page_markers(md: Column) -> Column:
-    """md with at least one page marker: from `## Page N` headings, else page 1 after the front matter or at the top."""
-    turned = F.regexp_replace(md, r"(?md)^##\s+Page\s+(\d+)\s*$", "<!-- page:$1 -->")
+def _turned(md: Column) -> Column:
+    """md with `## Page N` headings as page markers."""
+    return F.regexp_replace(md, r"(?md)^##\s+Page\s+(\d+)\s*$", "<!-- page:$1 -->")
+
+
+def _first_page(turned: Column) -> Column:
+    """With a marker of page 1 after the front matter or at the top."""
     dashes = F.locate("---", turned, 4)
     after = line_end(turned, dashes)
     inserted = F.concat(F.substr(turned, F.lit(1), after), F.lit("\n<!-- page:1 -->\n"), F.substr(turned, after + 1))
-    added = F.when(dashes > 1, inserted).otherwise(F.concat(F.lit("<!-- page:1 -->\n\n"), turned))
-    return F.when(md.rlike(PAGE_MARK), md).when(turned.rlike(PAGE_MARK), turned).otherwise(added)
+    return F.when(dashes > 1, inserted).otherwise(F.concat(F.lit("<!-- page:1 -->\n\n"), turned))
+
+
+def ensure_page_markers(md: Column) -> Column:
+    """md with at least one page marker: from `## Page N` headings, else page 1 after the front matter or at the top."""
+    turned = _turned(md)
+    return F.when(md.rlike(PAGE_MARK), md).when(turned.rlike(PAGE_MARK), turned).otherwise(_first_page(turned))
 
 
 def annotate_lines(md: Column) -> Column:
@@ -189,6 +198,58 @@ def enforce(df: DataFrame, key: str, md: str = "md") -> DataFrame:
     return tabled.withColumn(md, clean_ends(F.col(md)))
 
 
+def format_runs(md: Column) -> Column:
+    """md with each run of table rows formatted, as format_tables() does, within a row: for texts of a page's size."""
+
+    def whole(lines: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(lines) - 1)
+        starts = F.filter(at, lambda i: ~(F.get(lines, i)["bar"] & F.coalesce(F.get(lines, i - 1)["bar"], F.lit(False))))
+        return let(F.struct(lines.alias("lines"), starts.alias("starts")), pieces)
+
+    def pieces(x: Column) -> Column:
+        run = lambda s, j: F.transform(F.slice(x["lines"], s + 1, F.coalesce(F.get(x["starts"], j + 1), F.size(x["lines"])) - s), lambda y: y["t"])
+        return F.array_join(F.transform(x["starts"], lambda s, j: F.when(F.get(x["lines"], s)["bar"], F.array_join(format_rows(run(s, j)), "\n")).otherwise(F.get(x["lines"], s)["t"])), "\n")
+
+    bar = lambda own: own.rlike(r"^\|.*\|$") | (own == "|")
+    judged = lambda line, own: F.struct(bar(own).alias("bar"), F.when(bar(own), own).otherwise(line).alias("t"))
+    return let(F.transform(F.split(md, "\n"), lambda line: let(strip(line), lambda own: judged(line, own))), whole)
+
+
+def _levels(md: Column) -> Column:
+    """Whether a piece has a page marker, and the least level of its headings: with `## Page N` as it is, and as a marker."""
+    each = lambda text: F.struct(text.rlike(PAGE_MARK).alias("marked"), least_level(F.split(text, "\n")).alias("least"))
+    return F.struct(each(md).alias("own"), each(_turned(md)).alias("turned"))
+
+
+def documents_of(pages: DataFrame, fields: DataFrame, key: str, order: str, md: str = "md") -> DataFrame:
+    """fields (key and metadata, one row a document) with the front matter and what enforce_pieces() must know of the whole document: the last page, how pages are marked, the least heading level."""
+    found = pages.filter(F.col(md).isNotNull()).select(key, order, _levels(F.substr(F.col(md), F.lit(2))).alias("x"))
+    ways = [F.struct(F.bool_or(f"x.{w}.marked").alias("marked"), F.min(f"x.{w}.least").alias("least")).alias(f"pages_{w}") for w in ("own", "turned")]
+    front = fields.withColumn("front", F.concat(front_matter_block(fields), F.lit("\n"))).withColumn("x", _levels(F.col("front")))
+    rows = front.join(found.groupBy(key).agg(F.max(order).alias("last"), *ways), key, "left")
+    marked = lambda w: F.col(f"x.{w}.marked") | F.coalesce(F.col(f"pages_{w}.marked"), F.lit(False))
+    least = lambda w: F.least(F.col(f"x.{w}.least"), F.col(f"pages_{w}.least"))
+    way = F.when(marked("own"), "own").when(marked("turned"), "turned").otherwise("none")
+    return rows.select(*fields.columns, "front", "last", way.alias("way"), F.when(marked("own"), least("own")).otherwise(least("turned")).alias("least"))
+
+
+def enforce_pieces(pages: DataFrame, documents: DataFrame, key: str, order: str, md: str = "md") -> DataFrame:
+    """(key, metadata, order, md): what enforce() makes of a document's pages in a row, in pieces of a page; the front matter has no number and comes first.
+
+    pages (key, order, md): each begins with a line end and a comment, as pages_markdown() has it, and the front matter ends with lines of
+    its own. So no match, table or run of line ends goes on from piece to piece; what a whole document decides is in documents_of().
+    """
+    about = ["last", "way", "least"]
+    fields = [c for c in documents.columns if c not in (key, "front", *about)]
+    first = documents.select(key, *fields, *about, F.lit(None).cast(pages.schema[order].dataType).alias(order), F.col("front").alias(md))
+    rest = pages.filter(F.col(md).isNotNull()).select(key, order, F.substr(F.col(md), F.lit(2)).alias(md)).join(documents.drop("front"), key)
+    text, last = F.col(md), F.col(order).eqNullSafe(F.col("last"))
+    marked = F.when(F.col("way") == "own", text).when(F.col(order).isNull() & (F.col("way") == "none"), _first_page(_turned(text))).otherwise(_turned(text))
+    tabled = format_runs(shift_headings(annotate_lines(marked), F.col("least")))
+    whole = let(clean_inner(F.concat(tabled, F.when(last, "").otherwise("\n"))), lambda x: F.when(last, one_end(x)).otherwise(x))
+    return first.unionByName(rest).select(key, *fields, order, whole.alias(md))
+
+
 def violations(df: DataFrame, key: str, md: str = "md") -> DataFrame:
     """(key, type): what enforce() would have to mend."""
     text = F.col(md)

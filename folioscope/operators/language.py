@@ -20,11 +20,18 @@ def script(text: Column) -> Column:
     counts = []
     for name, (low, high) in SCRIPTS.items():
         n = _letters(text, low, high)
-        first = F.length(F.regexp_extract(text, rf"(?s)^(.*?)[\p{{L}}&&[\x{{{low:04X}}}-\x{{{high:04X}}}]]", 1))
+        first = _before(text, low, high)
         # Where it comes first matters for a script that occurs.
         counts.append(F.struct(n.alias("n"), F.when(n > 0, -first).alias("p"), F.lit(name).alias("s")))
+    return _most(counts, F.regexp_count(text, F.lit(r"\p{L}")))
+
+
+def _before(text: Column, low: int, high: int) -> Column:
+    return F.length(F.regexp_extract(text, rf"(?s)^(.*?)[\p{{L}}&&[\x{{{low:04X}}}-\x{{{high:04X}}}]]", 1))
+
+
+def _most(counts: list[Column], letters: Column) -> Column:
     best = F.array_max(F.array(*counts))
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
     return F.when(best["n"] > 0, F.struct(best["s"].alias("script"), (best["n"] / letters).alias("share"))).otherwise(F.struct(F.lit("unknown").alias("script"), F.lit(0.0).alias("share")))
 
 
@@ -36,30 +43,58 @@ def latin_words(text: Column) -> Column:
 
 def latin_language(words: Column) -> Column:
     """A struct of language and confidence: the most frequent words found, ties to the earlier language."""
-    scored = []
-    for k, (lang, common) in enumerate(COMMON_WORDS.items()):
-        known = F.array(*[F.lit(w) for w in dict.fromkeys(common.split())])
-        scored.append(F.struct(F.size(F.array_intersect(words, known)).alias("n"), F.lit(-k).alias("o"), F.lit(lang).alias("l")))
-    best = F.array_max(F.array(*scored))
-    sure = F.least(F.lit(1.0), best["n"] / F.size(words) * 5)
-    return F.when((F.size(words) > 0) & (best["n"] > 0), F.struct(best["l"].alias("language"), sure.alias("confidence"))).otherwise(F.struct(F.lit(DEFAULT).alias("language"), F.lit(0.0).alias("confidence")))
+    known = {lang: F.array(*[F.lit(w) for w in dict.fromkeys(common.split())]) for lang, common in COMMON_WORDS.items()}
+    return _by_words(F.size(words), {lang: F.size(F.array_intersect(words, own)) for lang, own in known.items()})
+
+
+def _by_words(total: Column, found: dict[str, Column]) -> Column:
+    best = F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(-k).alias("o"), F.lit(lang).alias("l")) for k, (lang, n) in enumerate(found.items())]))
+    sure = F.least(F.lit(1.0), best["n"] / total * 5)
+    return F.when((total > 0) & (best["n"] > 0), F.struct(best["l"].alias("language"), sure.alias("confidence"))).otherwise(F.struct(F.lit(DEFAULT).alias("language"), F.lit(0.0).alias("confidence")))
 
 
 def detect(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """keep and language, confidence, script, method of each row's text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.withColumn("__t", text).withColumn("__s", script(F.col("__t"))).withColumn("__l", latin_language(latin_words(F.col("__t"))))
-    t, s = F.col("__t"), F.col("__s.script")
+    t = F.col("__t")
+    return rows.select(*keep, *_verdict(F.length(strip(t)) < 10, _kana(t), _hangul(t)))
+
+
+def _kana(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[\x{3040}-\x{30FF}]"))
+
+
+def _hangul(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[\x{AC00}-\x{D7AF}]"))
+
+
+def _verdict(short: Column, kana: Column, hangul: Column) -> list[Column]:
+    """language, confidence, script and method by __s of script() and __l of latin_language()."""
+    s = F.col("__s.script")
     by_script = F.create_map(*[F.lit(x) for kv in SCRIPT_LANGUAGES.items() for x in kv])
-    kana = F.regexp_count(t, F.lit(r"[\x{3040}-\x{30FF}]"))
-    hangul = F.regexp_count(t, F.lit(r"[\x{AC00}-\x{D7AF}]"))
     cjk = F.when(kana > 5, "ja").when(hangul > 5, "ko").otherwise("zh")
     mapped = by_script[s]
-    short = F.length(strip(t)) < 10
     language = F.when(short, DEFAULT).when(mapped.isNotNull(), mapped).when(s == "cjk", cjk).when(s == "latin", F.col("__l.language")).otherwise(DEFAULT)
     sure = F.when(short, 0.0).when(mapped.isNotNull() | (s == "cjk"), F.col("__s.share")).when(s == "latin", F.col("__l.confidence")).otherwise(0.0)
     method = F.when(short, "insufficient_text").when(mapped.isNotNull(), "script").when(s == "cjk", "cjk_analysis").when(s == "latin", "word_frequency").otherwise("fallback")
-    return rows.select(*keep, language.alias("language"), F.round(sure, 4).alias("confidence"), F.when(short, "unknown").otherwise(s).alias("script"), method.alias("method"))
+    return [language.alias("language"), F.round(sure, 4).alias("confidence"), F.when(short, "unknown").otherwise(s).alias("script"), method.alias("method")]
+
+
+def detect_pieces(pieces: DataFrame, key: str, order: str, md: str = "md") -> DataFrame:
+    """(key, language, confidence, script, method) as detect() has them of each key's pieces in a row, which are pages: a word ends with its page, and ten characters there are."""
+    t = F.col(md)
+    sums = [F.sum(F.regexp_count(t, F.lit(r"\p{L}"))).alias("letters"), F.sum(_kana(t)).alias("kana"), F.sum(_hangul(t)).alias("hangul")]
+    for name, (low, high) in SCRIPTS.items():
+        n = _letters(t, low, high)
+        sums += [F.sum(n).alias(f"n_{name}"), F.max(F.when(n > 0, F.struct((-F.col(order)).alias("o"), (-_before(t, low, high)).alias("p")))).alias(f"p_{name}")]
+    words = pieces.select(key, F.explode(latin_words(t)).alias("w")).distinct()
+    known = [F.count_if(F.col("w").isin(common.split())).alias(f"w_{lang}") for lang, common in COMMON_WORDS.items()]
+    joined = pieces.groupBy(key).agg(*sums).join(words.groupBy(key).agg(F.count("*").alias("words"), *known), key, "left")
+    counts = [F.struct(F.col(f"n_{name}").alias("n"), F.col(f"p_{name}").alias("p"), F.lit(name).alias("s")) for name in SCRIPTS]
+    found = {lang: F.coalesce(f"w_{lang}", F.lit(0)) for lang in COMMON_WORDS}
+    rows = joined.withColumn("__s", _most(counts, F.col("letters"))).withColumn("__l", _by_words(F.coalesce("words", F.lit(0)), found))
+    return rows.select(key, *_verdict(F.lit(False), F.col("kana"), F.col("hangul")))
 
 
 def detect_documents(pages: DataFrame, first: int = 5) -> DataFrame:

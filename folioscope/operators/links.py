@@ -49,7 +49,9 @@ def extract_captions(elements: DataFrame, reach: float = 100, keep_unlinked: boo
     links = caption_links(base if base is not None else elements, reach)
     won = links.groupBy(*PAGE, F.col("target_idx").alias("elem_idx")).agg(F.max_by(F.struct("text", "number"), "caption_idx").alias("__w"))
     isnt = (F.col("elem_type") != "text") | ~is_caption(F.coalesce("content", F.lit("")))
-    rows = elements.join(won, [*PAGE, "elem_idx"], "left")
+    # By page, so that elements are dealt out once for this and what later goes by page.
+    of_page = won.filter("elem_idx is not null").groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct("elem_idx", "__w"))).alias("__m"))
+    rows = elements.join(of_page, PAGE, "left").withColumn("__w", F.try_element_at("__m", F.col("elem_idx"))).drop("__m")
     if keep_unlinked:
         linked = links.select(*PAGE, F.col("caption_idx").alias("elem_idx"), F.lit(True).alias("__linked"))
         rows = rows.join(linked, [*PAGE, "elem_idx"], "left")

@@ -69,10 +69,10 @@ def repeating_content(elements: DataFrame, threshold: float = 0.5, edge: int = 3
     return out.filter("is_header or is_footer").select("doc_key", "norm_text", "n_top", "n_bottom", "is_header", "is_footer")
 
 
-def tag_noise(elements: DataFrame, threshold: float = 0.5, min_pages: int = 3) -> DataFrame:
-    """elements with noise_type: the first of page_number, header, footer, watermark, artifact that holds for a text."""
-    repeaters = repeating_content(elements, threshold)
-    counts = page_counts(elements)
+def tag_noise(elements: DataFrame, threshold: float = 0.5, min_pages: int = 3, repeaters: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """elements with noise_type: the first of page_number, header, footer, watermark, artifact that holds for a text. repeaters, counts: the elements' repeating_content() and page_counts(), where they are at hand."""
+    repeaters = repeaters if repeaters is not None else repeating_content(elements, threshold)
+    counts = counts if counts is not None else page_counts(elements)
     keyed = elements.withColumn("__t", F.when(F.col("elem_type") == "text", strip(F.col("content")))).withColumn("norm_text", mask_numbers(F.col("__t")))
     joined = keyed.join(repeaters.select("doc_key", "norm_text", "is_header", "is_footer"), ["doc_key", "norm_text"], "left").join(counts, "doc_key")
     many = F.col("n_pages") >= min_pages

@@ -94,12 +94,12 @@ def render_order(elements: DataFrame, by_y: bool = False) -> DataFrame:
     return elements.withColumn("__p", place).withColumn("render_pos", F.row_number().over(Window.partitionBy(*PAGE).orderBy("__p"))).drop("__p")
 
 
-def pages_markdown(rows: DataFrame, by_y: bool = False) -> DataFrame:
-    """(doc_key, page_num, md) of annotated elements. A page is one group; its size is that of a page."""
+def pages_markdown(rows: DataFrame, by_y: bool = False, more: tuple[Column, ...] = (), names: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_key, page_num, md) of annotated elements, and more aggregates of these names. A page is one group; its size is that of a page."""
     each = F.struct(_place(rows, by_y).alias("p"), F.col("md").alias("md"))
-    grouped = rows.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.when(F.col("md").isNotNull(), each))).alias("xs"))
+    grouped = rows.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.when(F.col("md").isNotNull(), each))).alias("xs"), *[m.alias(n) for m, n in zip(more, names, strict=True)])
     body = F.array_join(F.transform("xs", lambda x: F.concat(x["md"], F.lit("\n"))), "")
-    return grouped.select(*PAGE, F.concat(F.lit("\n<!-- page:"), F.col("page_num").cast("string"), F.lit(" -->\n\n"), body).alias("md"))
+    return grouped.select(*PAGE, F.concat(F.lit("\n<!-- page:"), F.col("page_num").cast("string"), F.lit(" -->\n\n"), body).alias("md"), *names)
 
 
 def documents_markdown(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from folioscope.functions.text import front_matter, has_front_matter, in_sequenc
 from folioscope.operators.enforce import PAGE_MARK, line_end, line_view
 
 ISSUE = "severity string, category string, message string"
+ROLE, HEAD, BAR = r"<!--\s*role:\w+", r"(?md)^#{1,6}\s+", r"(?md)^\|"
 
 
 def _issue(severity: str, category: str, message: Column | str) -> Column:
@@ -37,22 +39,23 @@ def schema_issues(df: DataFrame, key: str, md: str = "md") -> DataFrame:
     pages = F.transform(F.regexp_extract_all(text, F.lit(PAGE_MARK), F.lit(1)), lambda x: x.cast("long"))
     expected = F.when(F.array_max(pages) >= 1, F.sequence(F.lit(1).cast("long"), F.array_max(pages)))
     missing = F.array_except(expected, pages)
-    roles, heads, bars = _count(text, r"<!--\s*role:\w+"), _count(text, r"(?md)^#{1,6}\s+"), F.floor(_count(text, r"(?md)^\|") / 2)
+    roles, heads, bars = _count(text, ROLE), _count(text, HEAD), F.floor(_count(text, BAR) / 2)
     low = F.concat(F.lit("Low annotation coverage: "), roles.cast("string"), F.lit(" annotations for "), heads.cast("string"), F.lit(" headings and "), bars.cast("string"), F.lit(" tables"))
-    return _explode(
-        df,
-        key,
-        [
-            (~has, _issue("error", "schema", "Missing YAML frontmatter")),
-            (has & block.isNull(), _issue("error", "schema", "Incomplete YAML frontmatter (missing closing ---)")),
-            (lacks("document:"), _issue("error", "schema", "Missing document section in frontmatter")),
-            (lacks("source_file:"), _issue("warning", "schema", "Missing source_file in frontmatter")),
-            (lacks("quality:"), _issue("warning", "schema", "Missing quality section in frontmatter")),
-            (F.size(pages) == 0, _issue("warning", "schema", "No page markers found")),
-            (F.coalesce(F.size(missing) > 0, F.lit(False)), _issue("warning", "schema", F.concat(F.lit("Missing page markers: ["), F.array_join(missing, ", "), F.lit("]")))),
-            (roles < (heads + bars) * 0.5, _issue("warning", "schema", low)),
-        ],
-    )
+    gap = F.concat(F.lit("Missing page markers: ["), F.array_join(missing, ", "), F.lit("]"))
+    return _explode(df, key, _schema_checks(has, block.isNotNull(), lacks, F.size(pages) == 0, F.coalesce(F.size(missing) > 0, F.lit(False)), gap, roles, heads, bars, low))
+
+
+def _schema_checks(has: Column, closed: Column, lacks: Callable[[str], Column], unpaged: Column, gaps: Column, gap: Column | str, roles: Column, heads: Column, bars: Column, low: Column | str) -> list[tuple[Column, Column]]:
+    return [
+        (~has, _issue("error", "schema", "Missing YAML frontmatter")),
+        (has & ~closed, _issue("error", "schema", "Incomplete YAML frontmatter (missing closing ---)")),
+        (lacks("document:"), _issue("error", "schema", "Missing document section in frontmatter")),
+        (lacks("source_file:"), _issue("warning", "schema", "Missing source_file in frontmatter")),
+        (lacks("quality:"), _issue("warning", "schema", "Missing quality section in frontmatter")),
+        (unpaged, _issue("warning", "schema", "No page markers found")),
+        (gaps, _issue("warning", "schema", gap)),
+        (roles < (heads + bars) * 0.5, _issue("warning", "schema", low)),
+    ]
 
 
 def body_lines(md: Column) -> Column:
@@ -64,20 +67,24 @@ def body_lines(md: Column) -> Column:
 
 def content_issues(df: DataFrame, key: str, md: str = "md") -> DataFrame:
     text = F.col(md)
-    n = F.size(body_lines(text))
-    unsure, low = _count(text, r"\[uncertain:"), _count(text, r"\[low-confidence:")
-    first = F.length(F.regexp_extract(text, r"(?md)^(#{1,6})\s+", 1))
+    return _explode(df, key, _content_checks(F.size(body_lines(text)), _count(text, UNSURE), _count(text, LOW), _first_level(text)))
+
+
+UNSURE, LOW = r"\[uncertain:", r"\[low-confidence:"
+
+
+def _first_level(md: Column) -> Column:
+    return F.length(F.regexp_extract(md, r"(?md)^(#{1,6})\s+", 1))
+
+
+def _content_checks(n: Column, unsure: Column, low: Column, first: Column) -> list[tuple[Column, Column]]:
     start = F.concat(F.lit("Document does not start with H1 (starts with H"), first.cast("string"), F.lit(")"))
-    return _explode(
-        df,
-        key,
-        [
-            (n < 3, _issue("error", "content", "Document appears to have very little content")),
-            (unsure > n * 0.3, _issue("warning", "content", F.concat(F.lit("High uncertainty: "), unsure.cast("string"), F.lit(" uncertain regions")))),
-            (low > n * 0.1, _issue("warning", "content", F.concat(F.lit("Many low-confidence regions: "), low.cast("string")))),
-            (first > 1, _issue("info", "content", start)),
-        ],
-    )
+    return [
+        (n < 3, _issue("error", "content", "Document appears to have very little content")),
+        (unsure > n * 0.3, _issue("warning", "content", F.concat(F.lit("High uncertainty: "), unsure.cast("string"), F.lit(" uncertain regions")))),
+        (low > n * 0.1, _issue("warning", "content", F.concat(F.lit("Many low-confidence regions: "), low.cast("string")))),
+        (first > 1, _issue("info", "content", start)),
+    ]
 
 
 def _any_of(line: Column, patterns: list[str]) -> Column:
@@ -107,12 +114,19 @@ def commentary_matches(df: DataFrame, key: str, md: str = "md") -> DataFrame:
     return rows.select(key, (F.col("line_no") + 1).cast("long").alias("line"), F.explode(found).alias("x")).select(key, "line", "x.subtype", "x.matched_phrase")
 
 
+def _is_long(line: Column) -> Column:
+    return (F.length(line) > 500) & ~F.startswith(line, F.lit("|"))
+
+
+def _is_cut(line: Column) -> Column:
+    return F.startswith(strip(line), F.lit("|")) & ~F.endswith(strip(line), F.lit("|"))
+
+
 def format_issues(df: DataFrame, key: str, md: str = "md") -> DataFrame:
     """(key, severity, category, message, line): very long lines and table rows without a closing bar."""
     rows = line_view(df, key, md)
     line = F.col("line")
-    long = (F.length(line) > 500) & ~F.startswith(line, F.lit("|"))
-    cut = F.startswith(strip(line), F.lit("|")) & ~F.endswith(strip(line), F.lit("|"))
+    long, cut = _is_long(line), _is_cut(line)
     found = F.array_compact(F.array(F.when(long, _issue("info", "format", F.concat(F.lit("Very long line ("), F.length(line).cast("string"), F.lit(" chars)")))), F.when(cut, _issue("warning", "format", "Incomplete table row"))))
     return rows.select(key, (F.col("line_no") + 1).cast("long").alias("line"), F.explode(found).alias("i")).select(key, "i.*", "line")
 
@@ -142,20 +156,64 @@ def report(df: DataFrame, key: str, md: str = "md", strict: bool = False) -> Dat
         of("category", "format").alias("format_issues"),
     )
     names = [c for c in counted.columns if c != key]
-    rows = df.select(key).join(counted, key, "left").fillna(0, names)
+    return _report(df.select(key).join(counted, key, "left").fillna(0, names), key, names, strict)
+
+
+def _report(rows: DataFrame, key: str, names: list[str], strict: bool) -> DataFrame:
     score = 1.0 - F.col("errors") * 0.15 - F.col("warnings") * 0.05 - F.col("infos") * 0.01
     valid = (F.col("errors") == 0) if strict else F.lit(True)
     return rows.select(key, valid.alias("is_valid"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("quality_score"), *names, (F.col("hallucination_count") > 0).alias("hallucination_detected"))
 
 
+def _of_gate(md: Column) -> Column:
+    """The number of lines that the gate counts."""
+    return F.size(F.filter(F.split(md, "\n"), lambda x: (strip(x) != "") & ~F.startswith(x, F.lit("---")) & ~F.startswith(x, F.lit("<!--"))))
+
+
+def report_pieces(pieces: DataFrame, key: str, order: str, md: str = "md", strict: bool = False) -> DataFrame:
+    """report() of each key's pieces in a row, as enforce_pieces() makes them, with the content_lines of gate(). A piece is whole lines, and a match lies in one piece."""
+    text = F.col(md)
+    lines = lambda holds: F.size(F.filter(F.split(text, "\n"), holds)).cast("long")
+    first, block = F.col(order).isNull(), front_matter(text)
+    fields = ["document:", "source_file:", "quality:"]
+    sums = {"roles": _count(text, ROLE), "heads": _count(text, HEAD), "bars": _count(text, BAR), "unsure": _count(text, UNSURE), "low": _count(text, LOW), "body": F.size(body_lines(text)), "content_lines": _of_gate(text)}
+    sums |= {"talk": lines(lambda x: _any_of(x, COMMENTARY_FRAMEWORK)), "long": lines(_is_long), "cut": lines(_is_cut)}
+    front = {"has": has_front_matter(text), "closed": block.isNotNull()} | {f"lacks_{k}": ~F.contains(block, F.lit(f)) for k, f in enumerate(fields)}
+    level = F.min(F.when(_first_level(text) > 0, F.struct(F.col(order).alias("o"), _first_level(text).alias("n")))).alias("level")
+    rows = pieces.groupBy(key).agg(*[F.sum(c).alias(n) for n, c in sums.items()], *[F.bool_or(F.when(first, c)).alias(n) for n, c in front.items()], level)
+    marks = pieces.select(key, F.explode(F.regexp_extract_all(text, F.lit(PAGE_MARK), F.lit(1))).alias("p")).select(key, F.col("p").cast("long").alias("p")).distinct()
+    rows = rows.join(marks.groupBy(key).agg(F.max("p").alias("most"), F.count_if(F.col("p") >= 1).alias("marked")), key, "left")
+    c = F.col
+    lacks = lambda word: c("has") & c("closed") & c(f"lacks_{fields.index(word)}")
+    schema = _schema_checks(c("has"), c("closed"), lacks, c("marked").isNull(), (c("most") >= 1) & (c("marked") < c("most")), "", c("roles"), c("heads"), F.floor(c("bars") / 2), "")
+    content = _content_checks(c("body"), c("unsure"), c("low"), F.coalesce(c("level.n"), F.lit(0)))
+    held = rows.withColumn("s", F.array_compact(F.array(*[F.when(x, i) for x, i in schema]))).withColumn("c", F.array_compact(F.array(*[F.when(x, i) for x, i in content])))
+    of = lambda severity: F.size(F.filter(F.concat("s", "c"), lambda i: i["severity"] == severity)).cast("long")
+    counted = held.select(
+        key,
+        (of("error") + c("talk")).alias("errors"),
+        (of("warning") + c("cut")).alias("warnings"),
+        (of("info") + c("long")).alias("infos"),
+        c("talk").alias("hallucination_count"),
+        F.size("s").cast("long").alias("schema_issues"),
+        F.size("c").cast("long").alias("content_issues"),
+        (c("long") + c("cut")).alias("format_issues"),
+        "content_lines",
+    )
+    return _report(counted, key, [n for n in counted.columns if n != key], strict)
+
+
 def gate(df: DataFrame, reports: DataFrame, key: str, md: str = "md", min_score: float = 0.6, max_commentary: int = 0, max_errors: int = 2, min_lines: int = 5) -> DataFrame:
     """(key, passed, n_failures, content_lines, quality_level, suggested_action) by the gate's limits."""
-    line = lambda x: (strip(x) != "") & ~F.startswith(x, F.lit("---")) & ~F.startswith(x, F.lit("<!--"))
-    lines = df.select(key, F.size(F.filter(F.split(md, "\n"), line)).alias("content_lines"))
+    return gated(reports.join(df.select(key, _of_gate(F.col(md)).alias("content_lines")), key), key, min_score, max_commentary, max_errors, min_lines)
+
+
+def gated(rows: DataFrame, key: str, min_score: float = 0.6, max_commentary: int = 0, max_errors: int = 2, min_lines: int = 5) -> DataFrame:
+    """gate() of reports with content_lines."""
     score, talk = F.col("quality_score"), F.col("hallucination_count")
     failed = (score < min_score).cast("int") + (talk > max_commentary).cast("int") + (F.col("errors") > max_errors).cast("int") + (F.col("content_lines") < min_lines).cast("int")
     action = F.when(F.col("n_failures") == 0, "accept").when(talk > 0, "fallback_to_local_ocr").when(score < 0.3, "reject_and_retry").when(score < 0.5, "fallback_to_alternative").otherwise("accept_with_warnings")
-    rows = reports.join(lines, key).withColumn("n_failures", failed)
+    rows = rows.withColumn("n_failures", failed)
     return rows.select(key, (F.col("n_failures") == 0).alias("passed"), "n_failures", "content_lines", quality_level(score).alias("quality_level"), action.alias("suggested_action"))
 
 
