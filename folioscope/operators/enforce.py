@@ -129,7 +129,9 @@ def annotate_lines(md: Column) -> Column:
     """md with a role marker before each heading and table row that has none just before it."""
 
     def mark(line: Column, above: Column) -> Column:
-        own = strip(line)
+        return let(strip(line), lambda own: marked(line, own, above))
+
+    def marked(line: Column, own: Column, above: Column) -> Column:
         plain = (own == "") | F.startswith(own, F.lit("---")) | F.startswith(own, F.lit("<!--")) | F.startswith(strip(above), F.lit("<!-- role:"))
         level = F.length(F.regexp_extract(own, "^(#*)", 1)).cast("string")
         return (

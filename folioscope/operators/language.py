@@ -84,13 +84,15 @@ def _verdict(short: Column, kana: Column, hangul: Column) -> list[Column]:
 def detect_pieces(pieces: DataFrame, key: str, order: str, md: str = "md") -> DataFrame:
     """(key, language, confidence, script, method) as detect() has them of each key's pieces in a row, which are pages: a word ends with its page, and ten characters there are."""
     t = F.col(md)
-    sums = [F.sum(F.regexp_count(t, F.lit(r"\p{L}"))).alias("letters"), F.sum(_kana(t)).alias("kana"), F.sum(_hangul(t)).alias("hangul")]
-    for name, (low, high) in SCRIPTS.items():
-        n = _letters(t, low, high)
-        sums += [F.sum(n).alias(f"n_{name}"), F.max(F.when(n > 0, F.struct((-F.col(order)).alias("o"), (-_before(t, low, high)).alias("p")))).alias(f"p_{name}")]
+    # Letters of other scripts are counted in what Latin leaves, which mostly is little.
+    latin, letter = SCRIPTS["latin"], F.lit(r"\p{L}")
+    rest = pieces.select(key, order, md, F.regexp_replace(t, rf"[\x{{{latin[0]:04X}}}-\x{{{latin[1]:04X}}}]+", "").alias("__r"), F.regexp_count(t, letter).alias("letters"))
+    each = rest.select(key, order, md, "letters", _kana(F.col("__r")).alias("kana"), _hangul(F.col("__r")).alias("hangul"), *[(F.col("letters") - F.regexp_count("__r", letter) if name == "latin" else _letters(F.col("__r"), *span)).alias(f"n_{name}") for name, span in SCRIPTS.items()])
+    placed = each.select(*[c for c in each.columns if c != md], *[F.when(F.col(f"n_{name}") > 0, F.struct((-F.col(order)).alias("o"), (-_before(t, *span)).alias("p"))).alias(f"p_{name}") for name, span in SCRIPTS.items()])
+    sums = [F.sum(c).alias(c) for c in ("letters", "kana", "hangul", *[f"n_{name}" for name in SCRIPTS])] + [F.max(f"p_{name}").alias(f"p_{name}") for name in SCRIPTS]
     words = pieces.select(key, F.explode(latin_words(t)).alias("w")).distinct()
     known = [F.count_if(F.col("w").isin(common.split())).alias(f"w_{lang}") for lang, common in COMMON_WORDS.items()]
-    joined = pieces.groupBy(key).agg(*sums).join(words.groupBy(key).agg(F.count("*").alias("words"), *known), key, "left")
+    joined = placed.groupBy(key).agg(*sums).join(words.groupBy(key).agg(F.count("*").alias("words"), *known), key, "left")
     counts = [F.struct(F.col(f"n_{name}").alias("n"), F.col(f"p_{name}").alias("p"), F.lit(name).alias("s")) for name in SCRIPTS]
     found = {lang: F.coalesce(f"w_{lang}", F.lit(0)) for lang in COMMON_WORDS}
     rows = joined.withColumn("__s", _most(counts, F.col("letters"))).withColumn("__l", _by_words(F.coalesce("words", F.lit(0)), found))

@@ -179,8 +179,10 @@ def report_pieces(pieces: DataFrame, key: str, order: str, md: str = "md", stric
     sums = {"roles": _count(text, ROLE), "heads": _count(text, HEAD), "bars": _count(text, BAR), "unsure": _count(text, UNSURE), "low": _count(text, LOW), "body": F.size(body_lines(text)), "content_lines": _of_gate(text)}
     sums |= {"talk": lines(lambda x: _any_of(x, COMMENTARY_FRAMEWORK)), "long": lines(_is_long), "cut": lines(_is_cut)}
     front = {"has": has_front_matter(text), "closed": block.isNotNull()} | {f"lacks_{k}": ~F.contains(block, F.lit(f)) for k, f in enumerate(fields)}
-    level = F.min(F.when(_first_level(text) > 0, F.struct(F.col(order).alias("o"), _first_level(text).alias("n")))).alias("level")
-    rows = pieces.groupBy(key).agg(*[F.sum(c).alias(n) for n, c in sums.items()], *[F.bool_or(F.when(first, c)).alias(n) for n, c in front.items()], level)
+    level = F.when(_first_level(text) > 0, F.struct(F.col(order).alias("o"), _first_level(text).alias("n"))).alias("level")
+    # Counted in rows of their own, so that no text is sorted with them.
+    each = pieces.select(key, *[c.alias(n) for n, c in sums.items()], *[F.when(first, c).alias(n) for n, c in front.items()], level)
+    rows = each.groupBy(key).agg(*[F.sum(n).alias(n) for n in sums], *[F.bool_or(n).alias(n) for n in front], F.min("level").alias("level"))
     marks = pieces.select(key, F.explode(F.regexp_extract_all(text, F.lit(PAGE_MARK), F.lit(1))).alias("p")).select(key, F.col("p").cast("long").alias("p")).distinct()
     rows = rows.join(marks.groupBy(key).agg(F.max("p").alias("most"), F.count_if(F.col("p") >= 1).alias("marked")), key, "left")
     c = F.col
